@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quadrant.llm import byte_bpe, format_duplicates
+from quadrant.llm import byte_bpe, format_duplicates, line_kinds, suffix_leaks
 from quadrant.sources.tables import table
 
 MEETING_EXACT, MEETING_FREE = ["course", "section", "campus"], ["building", "room"]
@@ -34,7 +35,41 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.encode_corpus(table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_records": p4_records, "p4_collisions": p4_collisions, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the held-out items that leaked into it."""
+    return p7_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """The leaks with the words covered, the longest verbatim match and where in the document it begins."""
+    return suffix_leaks.find_leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text"))
+
+
+def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by source, before and after those with leaks are removed."""
+    documents = table(spark, folder, "documents", "doc_id", "source")
+    kept = suffix_leaks.without_leaks(documents, p7_leaks(spark, folder))
+    before = documents.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    after = kept.groupBy(F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return before.join(after, before["source"].eqNullSafe(after["s"]), "left").select("source", "documents", F.coalesce("n", F.lit(0)).alias("kept"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are mostly list, table or junk."""
+    return p8_kinds(spark, folder).filter("kind is not null").select("doc_id", "kind")
+
+
+def p8_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of prose, list, table and junk of every document, and its kind if prose has less than a quarter."""
+    return line_kinds.label_documents(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def p8_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Text statistics of every document."""
+    return line_kinds.text_statistics(table(spark, folder, "documents", "doc_id", "text"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_records": p4_records, "p4_collisions": p4_collisions, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_clean": p7_clean, "p8_found": p8_found, "p8_kinds": p8_kinds, "p8_stats": p8_stats}
 
 _CANON = r"upper(lower(regexp_replace(coalesce({0}, ''), '[^\p{{L}}\p{{N}}]', '', 'g')))"
 _KEYED = f"""
@@ -52,4 +87,15 @@ SELECT first_id, m.course, m.section, m.campus, m.building, m.room, copies FROM
     "p4_collisions": f"""{_KEYED},
 f AS (SELECT course, section, campus, lo, hi FROM k GROUP BY course, section, campus, lo, hi)
 SELECT count(*) AS records, count(*) AS hashes, CAST(0 AS BIGINT) AS collided FROM f""",
+    "p8_stats": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\r\n]+'), lambda x: x <> '') AS w,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\r\n]+'), lambda x: trim(x) <> '') AS l FROM documents),
+d AS (
+  SELECT doc_id, len(w) AS n, length(array_to_string(w, '')) AS dense, length(regexp_replace(array_to_string(w, ''), '[\p{L}\p{N}]', '', 'g')) AS symbols,
+         len(l) AS lines, len(list_filter(l, lambda x: regexp_matches(x, '[.!?] *\z'))) AS ended, len(list_filter(w, lambda x: list_contains(["""
+    + ", ".join(f"'{w}'" for w in sorted(line_kinds.COMMON))
+    + """], x))) AS common FROM w)
+SELECT doc_id, CAST(n AS BIGINT) AS words, CAST(dense AS DOUBLE) / nullif(n, 0) AS mean_word, CAST(symbols AS DOUBLE) / nullif(dense, 0) AS symbol_ratio,
+       CAST(ended AS DOUBLE) / nullif(lines, 0) AS ended_lines, CAST(common AS DOUBLE) / nullif(n, 0) AS common_words FROM d""",
 }
