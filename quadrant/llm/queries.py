@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrant.llm import byte_bpe, format_duplicates, line_kinds, suffix_leaks
+from quadrant.llm import byte_bpe, canonical_values, format_duplicates, line_kinds, suffix_leaks
 from quadrant.sources.tables import table
 
 MEETING_EXACT, MEETING_FREE = ["course", "section", "campus"], ["building", "room"]
@@ -15,6 +15,24 @@ def _meetings(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "meetings", "meeting_id", *MEETING_EXACT, *MEETING_FREE)
 
 
+def _named(spark: SparkSession, folder: str) -> DataFrame:
+    directory = table(spark, folder, "directory", "building_id", "name", "official_name")
+    meetings = table(spark, folder, "meetings", "meeting_id", "building")
+    labels = table(spark, folder, "labels", "label_id", "text")
+    named = [canonical_values.match_values(meetings, "meeting_id", "building", directory).withColumn("tbl", F.lit("meetings")), canonical_values.match_values(labels, "label_id", "text", directory).withColumn("tbl", F.lit("labels"))]
+    return named[0].unionByName(named[1])
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The directory entry that each freely written building name means, or -1."""
+    return _named(spark, folder).select("tbl", "row_id", F.col("entry").alias("building_id"))
+
+
+def p2_misses(spark: SparkSession, folder: str) -> DataFrame:
+    """Report of the values that mean no entry: each with its number of rows."""
+    return _named(spark, folder).filter(F.col("entry") == canonical_values.NONE).groupBy("tbl", "value").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every meeting that repeats an earlier one but for formatting, with the first one's id."""
     return format_duplicates.copies_of_first(_meetings(spark, folder), "meeting_id", MEETING_EXACT, MEETING_FREE).withColumnRenamed("id", "meeting_id")
@@ -69,7 +87,7 @@ def p8_stats(spark: SparkSession, folder: str) -> DataFrame:
     return line_kinds.text_statistics(table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_records": p4_records, "p4_collisions": p4_collisions, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_clean": p7_clean, "p8_found": p8_found, "p8_kinds": p8_kinds, "p8_stats": p8_stats}
+QUERIES = {"p2_found": p2_found, "p2_misses": p2_misses, "p4_found": p4_found, "p4_records": p4_records, "p4_collisions": p4_collisions, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_clean": p7_clean, "p8_found": p8_found, "p8_kinds": p8_kinds, "p8_stats": p8_stats}
 
 _CANON = r"upper(lower(regexp_replace(coalesce({0}, ''), '[^\p{{L}}\p{{N}}]', '', 'g')))"
 _KEYED = f"""
@@ -90,7 +108,7 @@ SELECT count(*) AS records, count(*) AS hashes, CAST(0 AS BIGINT) AS collided FR
     "p8_stats": r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\r\n]+'), lambda x: x <> '') AS w,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\r\n]+'), lambda x: trim(x) <> '') AS l FROM documents),
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\r\n]+'), lambda x: regexp_matches(x, '[^ \t]')) AS l FROM documents),
 d AS (
   SELECT doc_id, len(w) AS n, length(array_to_string(w, '')) AS dense, length(regexp_replace(array_to_string(w, ''), '[\p{L}\p{N}]', '', 'g')) AS symbols,
          len(l) AS lines, len(list_filter(l, lambda x: regexp_matches(x, '[.!?] *\z'))) AS ended, len(list_filter(w, lambda x: list_contains(["""
