@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrant.llm import byte_bpe, canonical_values, format_duplicates, line_kinds, suffix_leaks
+from quadrant.llm import byte_bpe, canonical_values, format_duplicates, line_kinds, soft_linkage, suffix_leaks
 from quadrant.sources.tables import table
 
 MEETING_EXACT, MEETING_FREE = ["course", "section", "campus"], ["building", "room"]
@@ -15,6 +15,22 @@ def _meetings(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "meetings", "meeting_id", *MEETING_EXACT, *MEETING_FREE)
 
 
+def p1_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Label-roof pairs with some evidence, with their confidence."""
+    labels = table(spark, folder, "labels").filter("kind is null or kind not in ('area', 'parking')")
+    labels = labels.select(F.col("label_id").alias("id"), "text", "lon", "lat", F.col("area_m2").cast("double").alias("area"))
+    roofs = table(spark, folder, "roofs")
+    same = F.xxhash64("name", "area_m2", "cells", "roof_m", "ground_m", F.col("centre").cast("string"))
+    place = [F.when(F.size("centre") >= 2, F.element_at("centre", i)) for i in (1, 2)]
+    roofs = roofs.select(F.col("roof_id").alias("id"), "name", place[0].alias("lon"), place[1].alias("lat"), F.col("area_m2").cast("double").alias("area"), same.alias("thing"))
+    return soft_linkage.link(spark, labels, roofs).withColumnsRenamed({"left_id": "label_id", "right_id": "roof_id", "s": "evidence"})
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The label-roof pairs of the same building."""
+    return soft_linkage.matches(p1_links(spark, folder)).select("label_id", "roof_id")
+
+
 def _named(spark: SparkSession, folder: str) -> DataFrame:
     directory = table(spark, folder, "directory", "building_id", "name", "official_name")
     meetings = table(spark, folder, "meetings", "meeting_id", "building")
@@ -87,7 +103,7 @@ def p8_stats(spark: SparkSession, folder: str) -> DataFrame:
     return line_kinds.text_statistics(table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_misses": p2_misses, "p4_found": p4_found, "p4_records": p4_records, "p4_collisions": p4_collisions, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_clean": p7_clean, "p8_found": p8_found, "p8_kinds": p8_kinds, "p8_stats": p8_stats}
+QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_misses": p2_misses, "p4_found": p4_found, "p4_records": p4_records, "p4_collisions": p4_collisions, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_clean": p7_clean, "p8_found": p8_found, "p8_kinds": p8_kinds, "p8_stats": p8_stats}
 
 _CANON = r"upper(lower(regexp_replace(coalesce({0}, ''), '[^\p{{L}}\p{{N}}]', '', 'g')))"
 _KEYED = f"""
