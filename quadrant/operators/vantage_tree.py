@@ -84,3 +84,36 @@ class VantageTree:
             offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             yield np.repeat(queries[start:stop], size), self.members[np.repeat(self.first[points[start:stop]], size) + offset]
             start = stop
+
+    def nearest(self, lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point index, metres) of the nearest point to each query; the lowest index of equals; -1 if there are no points."""
+        best, who = np.full(len(lon), np.inf), np.full(len(lon), -1)
+        if not self.nodes or not len(lon):
+            return who, best
+        head = self.members[self.first[:-1]]
+        waiting = [(0, np.arange(len(lon)), np.zeros(len(lon)))]
+        while waiting:
+            node, queries, least = waiting.pop()
+            queries = queries[least <= best[queries] + 1e-6]
+            if not len(queries):
+                continue
+            at, split, left, right = self.nodes[node]
+            if split is None:
+                step = max(1, PAIRS_AT_ONCE // len(at))
+                for start in range(0, len(queries), step):
+                    part = queries[start : start + step]
+                    d = great_circle(lon[part][:, None], lat[part][:, None], self.lon[at][None, :], self.lat[at][None, :])
+                    low = d.min(axis=1)
+                    index = np.where(d == low[:, None], head[at][None, :], np.iinfo(np.int64).max).min(axis=1)
+                    better = (low < best[part]) | ((low == best[part]) & (index < who[part]))
+                    best[part[better]], who[part[better]] = low[better], index[better]
+                continue
+            d = great_circle(self.lon[at], self.lat[at], lon[queries], lat[queries])
+            from_left, from_right = np.maximum(0, d - split[0]), np.maximum(0, split[1] - d)
+            inner = d <= (split[0] + split[1]) / 2
+            # The likelier side is searched first, so that most of the other is never entered.
+            waiting.append((right, queries[inner], from_right[inner]))
+            waiting.append((left, queries[~inner], from_left[~inner]))
+            waiting.append((left, queries[inner], from_left[inner]))
+            waiting.append((right, queries[~inner], from_right[~inner]))
+        return who, best
