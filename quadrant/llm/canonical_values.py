@@ -392,7 +392,7 @@ class Reference:
                 own = self.words[entry][:-1]
                 costs = [min((c for k, c in r.items() if k in own), default=None) for w, r in zip(words, readings, strict=True) if w != number]
                 # A short word alone before a number is a code of its own.
-                if costs and None not in costs and (len(costs) == len(own) or all(len(w) > 2 for w in words)):
+                if costs and None not in costs and (len(costs) == len(own) or all(len(w) > 2 for w in words if w != number)):
                     found.append((sum(costs) + 0.3 * abs(len(own) - len(costs)), -self.often[entry], entry))
             return found
         if any(not r for r in readings):
