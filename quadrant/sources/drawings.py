@@ -179,7 +179,7 @@ def read_drawings(spark: SparkSession, path: str) -> DataFrame:
                     arrays = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.string()) for c in columns[2:6]), pa.array(columns[7], pa.bool_()), points]
                     yield pa.RecordBatch.from_arrays(arrays, names=[p.split()[0] for p in SHAPES.split(", ")])
 
-    files = spark.read.option("wholetext", True).text(path).selectExpr("_metadata.file_path as file", "value")
+    files = spark.read.text(path, wholetext=True).selectExpr("_metadata.file_path as file", "value")
     return files.mapInArrow(run, SHAPES)
 
 

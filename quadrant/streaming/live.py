@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def rate_limit(events: DataFrame, key: str, at_ms: str, order: str, window_ms: int, most: int) -> DataFrame:
-    """(order, allowed, remaining) of a stream: windows open at a key's first event after the last one ended. Within a micro-batch events are taken in order of time."""
+def rate_limit(events: DataFrame, key: str, at_ms: str, order: str, window_ms: int, most: int, expire: bool = True) -> DataFrame:
+    """(order, allowed, remaining) of a stream: windows open at a key's first event after the last one ended. Within a micro-batch events are taken in order of time.
+
+    ``expire`` drops the state of keys that fall silent for two windows of processing time. A stream with such timeouts runs
+    batches for ever, so a run over what is there (availableNow) has to do without.
+    """
 
     def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -30,11 +34,12 @@ def rate_limit(events: DataFrame, key: str, at_ms: str, order: str, window_ms: i
             count += 1
             out.append((int(number), count <= most, max(0, most - count)))
         state.update((int(until), count))
-        state.setTimeoutDuration(2 * window_ms)
+        if expire:
+            state.setTimeoutDuration(2 * window_ms)
         yield pd.DataFrame(out, columns=[order, "allowed", "remaining"])
 
     rows = events.select(key, at_ms, order).filter(f"{key} is not null and {at_ms} is not null")
-    return rows.groupBy(key).applyInPandasWithState(run, f"{order} long, allowed boolean, remaining long", "until long, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(run, f"{order} long, allowed boolean, remaining long", "until long, count long", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def decayed_visits(events: DataFrame, key: str, at_ms: str, half_life_ms: float) -> DataFrame:

@@ -7,9 +7,9 @@ def run(spark, tmp_path, name, build, rows, schema, mode):
     for i, batch in enumerate(rows):
         spark.createDataFrame(batch, schema).coalesce(1).write.parquet(str(source / f"{i}"))
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(source))
-    query = build(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).start()
+    query = build(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     try:
-        query.processAllAvailable()
+        assert query.awaitTermination(60), "the stream did not end"
     finally:
         query.stop()
     return spark.sql(f"select * from {name}").collect()
@@ -17,7 +17,7 @@ def run(spark, tmp_path, name, build, rows, schema, mode):
 
 def test_rate_limit_keeps_its_state_between_batches(spark, tmp_path):
     rows = [[(1, 0, 0), (1, 10, 1)], [(1, 20, 2), (1, 1000, 3), (None, 5, 4)]]
-    got = run(spark, tmp_path, "limited", lambda s: live.rate_limit(s, "user", "at", "id", 1000, 2), rows, "user long, at long, id long", "append")
+    got = run(spark, tmp_path, "limited", lambda s: live.rate_limit(s, "user", "at", "id", 1000, 2, expire=False), rows, "user long, at long, id long", "append")
     assert {r["id"]: r["allowed"] for r in got} == {0: True, 1: True, 2: False, 3: True}
 
 
