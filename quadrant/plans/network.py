@@ -1,4 +1,4 @@
-"""Graph queries over a grid of suppliers and over shared parts."""
+"""Graph queries over a grid of suppliers."""
 
 from __future__ import annotations
 

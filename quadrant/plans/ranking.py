@@ -14,6 +14,8 @@ TOP = 8
 BANDS = (100, 80, 60, 35, 12)
 HALF_LIFE_DAYS = 21.0
 NAME_QUERIES = ["library", "hall", "north", "portable village", "studio art", "center", "the", ""]
+PART_QUERIES = ["small ring", "red", "economy", "gear hot", "bolt", "widget", "idge", ""]
+DOC_QUERIES = ["court", "office", "map room", "north", "the building", "level stairs", "class", ""]
 TEXT_QUERIES = ["north wing", "tower", "basement level", "court", "office"]
 
 
@@ -64,6 +66,18 @@ def folded_rank_top8(spark: SparkSession, folder: str) -> DataFrame:
     return rank(index, TEXT_QUERIES)
 
 
+def part_rank_top8(spark: SparkSession, folder: str) -> DataFrame:
+    """The best parts for each of a list of queries, their types as descriptions."""
+    rows = table(spark, folder, "part", "p_partkey", "p_name", "p_type")
+    return rank(rows.select(F.col("p_partkey").alias("ordinal"), ascii_key(F.col("p_name")).alias("name"), ascii_key(F.concat_ws(" ", "p_name", "p_type")).alias("full")), PART_QUERIES)
+
+
+def doc_rank_top8(spark: SparkSession, folder: str) -> DataFrame:
+    """The best documents for each of a list of queries: the first line is the name, the whole text the description."""
+    rows = table(spark, folder, "documents", "doc_id", "text")
+    return rank(rows.select(F.col("doc_id").alias("ordinal"), ascii_key(F.substring_index("text", "\n", 1)).alias("name"), ascii_key(F.col("text")).alias("full")), DOC_QUERIES)
+
+
 def visit_weights(events: DataFrame, name: Column, at: Column, now: Column) -> DataFrame:
     """(name, weight): visits that count half after each half-life."""
     days = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 86_400_000_000
@@ -96,10 +110,23 @@ def popular_shelf(spark: SparkSession, folder: str) -> DataFrame:
     return once.select("user_id", F.col("k.shelf").alias("shelf"), (-F.col("k.o")).alias("w")).orderBy("shelf", F.desc("w"), "user_id").limit(6)
 
 
-QUERIES = {f.__name__: f for f in (name_rank_top8, folded_rank_top8, popular_decay, popular_bonus, popular_shelf)}
+QUERIES = {f.__name__: f for f in (name_rank_top8, folded_rank_top8, part_rank_top8, doc_rank_top8, popular_decay, popular_bonus, popular_shelf)}
 
 _ASCII = "trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'), ' ')"
 _TERM = "CASE WHEN name = t THEN 100 WHEN starts_with(name, t || ' ') THEN 80 WHEN contains(' ' || name, ' ' || t) THEN 60 WHEN contains(name, t) THEN 35 WHEN contains(\"full\", t) THEN 12 ELSE 0 END"
+
+
+def _rank_sql(queries: list[str], ordinal: str, name: str, full: str, frame: str) -> str:
+    """The SQL of rank() over a table."""
+    return f"""WITH q AS (SELECT unnest([{", ".join(f"'{q}'" for q in queries)}]) AS query),
+i AS (SELECT {ordinal} AS ordinal, {_ASCII.format(name)} AS name, {_ASCII.format(full)} AS "full" FROM {frame}),
+t AS (SELECT query, unnest(string_split(query, ' ')) AS t FROM q WHERE query <> ''),
+s AS (SELECT query, ordinal, name, {_TERM} AS s FROM t, i),
+r AS (SELECT query, ordinal, round(sum(s) - length(any_value(name)) / 1000.0, 6) AS score FROM s GROUP BY query, ordinal HAVING min(s) > 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ordinal) AS place FROM r)
+SELECT query, ordinal, CAST(score AS DOUBLE) AS score, CAST(place AS INTEGER) AS place FROM p WHERE place <= 8"""
+
+
 _WEIGHTS = """WITH e AS (SELECT user_id, ts FROM events WHERE event_type IN ('view', 'purchase')), n AS (SELECT max(ts) AS now FROM e),
 w AS (SELECT user_id, sum(pow(0.5, (epoch_us(now) - epoch_us(ts)) / 86400000000.0 / 21.0)) AS weight FROM e, n GROUP BY user_id)"""
 
@@ -111,6 +138,8 @@ s AS (SELECT query, ordinal, name, {_TERM} AS s FROM t, i),
 r AS (SELECT query, ordinal, round(sum(s) - length(any_value(name)) / 1000.0, 6) AS score FROM s GROUP BY query, ordinal HAVING min(s) > 0),
 p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ordinal) AS place FROM r)
 SELECT query, ordinal, CAST(score AS DOUBLE) AS score, CAST(place AS INTEGER) AS place FROM p WHERE place <= 8""",
+    "part_rank_top8": _rank_sql(PART_QUERIES, "p_partkey", "p_name", "concat_ws(' ', p_name, p_type)", "part"),
+    "doc_rank_top8": _rank_sql(DOC_QUERIES, "doc_id", "split_part(text, chr(10), 1)", "text", "documents"),
     "popular_decay": f"{_WEIGHTS} SELECT user_id, round(weight, 6) AS weight FROM w",
     "popular_bonus": f"{_WEIGHTS} SELECT user_id, round(20.0 * weight / (weight + 3.0), 6) AS bonus FROM w",
     "popular_shelf": f"""{_WEIGHTS}, a AS (SELECT 0 AS shelf, user_id, round(weight, 6) AS w FROM w ORDER BY w DESC, user_id LIMIT 12), b AS (SELECT 1 AS shelf, user_id, round(max(value), 6) AS w FROM events GROUP BY user_id ORDER BY w DESC, user_id LIMIT 12),
