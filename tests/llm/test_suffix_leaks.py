@@ -70,3 +70,32 @@ def test_disguises_and_edges(spark):
     empty = spark.createDataFrame([], DOCS)
     assert sl.find_leaks(empty, spark.createDataFrame(held, ITEMS)).count() == 0
     assert sl.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], ITEMS)).count() == 0
+
+
+def test_items_that_share_a_passage_all_leak(spark):
+    rng = random.Random(5)
+    passage = item(rng, 60)
+    for owners in (1, 3, 8, 30):
+        held = [(i, " ".join(passage + item(rng, 12)), None) for i in range(owners)]
+        leaks = sl.find_leaks(spark.createDataFrame([(1, "so " + " ".join(passage) + " it", None)], DOCS), spark.createDataFrame(held, ITEMS))
+        assert sorted(r["item_id"] for r in leaks.collect()) == list(range(owners))
+
+
+def test_short_items_and_changed_words():
+    rng = random.Random(6)
+    short, tiny, long = item(rng, 12), item(rng, 8), item(rng, 60)
+    model = sl.Items([1, 2, 3], [" ".join(t) for t in (short, tiny, long)])
+    numbered = lambda ws: [model.number.get(w, 10_000 + i) for i, w in enumerate(ws)]
+    broken = [w if i % 3 < 2 else f"changed{i}" for i, w in enumerate(long)]
+    rows = sl.leaks_in_shard([1, 2, 3, 4], [numbered(t) for t in (short, tiny, broken, long[:9])], model)
+    assert {(d, i): n for d, i, n, _, _ in rows} == {(1, 1): 12, (3, 3): 40}
+
+
+def test_scattered_pairs_of_a_long_text_are_no_leak():
+    rng = random.Random(7)
+    one = item(rng, 60)
+    model = sl.Items([1], [" ".join(one)])
+    text = []
+    for at in range(0, 56, 2):
+        text += [model.number[w] for w in one[at : at + 2]] + [90_000 + rng.randrange(10_000) for _ in range(20)]
+    assert sl.leaks_in_shard([1], [text], model) == []
