@@ -51,11 +51,12 @@ class VantageTree:
             waiting.append((at[near], here, 0))
             waiting.append((at[far], here, 1))
 
-    def within(self, lon: np.ndarray, lat: np.ndarray, metres: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query index, point index) arrays of all pairs at most ``metres`` apart, in pieces of bounded size."""
+    def within(self, lon: np.ndarray, lat: np.ndarray, metres: float | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query index, point index) arrays of all pairs at most ``metres`` (one bound, or one a query) apart, in pieces of bounded size."""
         if not self.nodes or not len(lon):
             return
         waiting = [(0, np.arange(len(lon)))]
+        metres = np.broadcast_to(np.asarray(metres, float), len(lon))
         slack = metres + 1e-3
         while waiting:
             node, queries = waiting.pop()
@@ -65,11 +66,11 @@ class VantageTree:
                 for start in range(0, len(queries), step):
                     part = queries[start : start + step]
                     d = great_circle(lon[part][:, None], lat[part][:, None], self.lon[at][None, :], self.lat[at][None, :])
-                    q, p = np.nonzero(d <= metres)
+                    q, p = np.nonzero(d <= metres[part][:, None])
                     yield from self._expand(part[q], at[p])
                 continue
             d = great_circle(self.lon[at], self.lat[at], lon[queries], lat[queries])
-            for child, go in ((left, d - slack <= split[0]), (right, d + slack >= split[1])):
+            for child, go in ((left, d - slack[queries] <= split[0]), (right, d + slack[queries] >= split[1])):
                 if go.any():
                     waiting.append((child, queries[go]))
 

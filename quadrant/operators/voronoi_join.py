@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrant.functions.sphere import EARTH_M, great_circle, inside_rings, unit_vectors
+from quadrant.functions.sphere import EARTH_M, great_circle, inside_rings
 from quadrant.operators.vantage_tree import VantageTree
 from quadrant.sources.tables import slots
 
 CELL_POINTS = 20_000
 #: Bounds of what is gathered on the driver and broadcast: pivots, and the sample they and the cells' sizes come from.
-MAX_PIVOTS = 4_096
-SAMPLE = 32_768
+MAX_PIVOTS = 32_768
+SAMPLE = 262_144
 #: Metres added to replication bounds; covers the rounding of distances to pivots.
 SLACK_M = 1.0
 ROUTED = "cell long, role int, source int, id long, lon double, lat double, rings array<array<struct<lon:double,lat:double>>>"
@@ -60,21 +60,47 @@ class Within:
 
 @dataclass
 class Layout:
-    """Pivots, and how many target rows and query columns each cell's grid of blocks has."""
+    """Pivots, and how many target rows and query columns each cell's grid of blocks has.
+
+    Pivots are searched by a vantage-point tree of their own, so a point is compared with a few of them, not with all.
+    """
 
     lon: np.ndarray
     lat: np.ndarray
     rows: np.ndarray
     columns: np.ndarray
     base: np.ndarray = field(init=False)
+    tree: VantageTree = field(init=False)
 
     def __post_init__(self) -> None:
         self.base = np.r_[0, np.cumsum(self.rows * self.columns)]
+        self.tree = VantageTree(self.lon, self.lat)
+
+    def cells_within(self, lon: np.ndarray, lat: np.ndarray, metres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point index, cell) of all pivots within each point's own distance."""
+        found = list(self.tree.within(lon, lat, metres))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+    def target_blocks(self, home: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index, block): a target goes to every column of its row."""
+        wide = self.columns[home]
+        who = np.repeat(np.arange(len(home)), wide)
+        column = np.arange(len(who)) - np.repeat(np.cumsum(wide) - wide, wide)
+        at = home[who]
+        return who, self.base[at] + (spot[who] % self.rows[at].astype(np.uint64)).astype(np.int64) * self.columns[at] + column
+
+    def query_blocks(self, cell: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index, block): a query goes to every row of its column."""
+        tall = self.rows[cell]
+        who = np.repeat(np.arange(len(cell)), tall)
+        row = np.arange(len(who)) - np.repeat(np.cumsum(tall) - tall, tall)
+        at = cell[who]
+        return who, self.base[at] + row * self.columns[at] + (spot[who] % self.columns[at].astype(np.uint64)).astype(np.int64)
+
 
-    def to_pivots(self, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
-        """Metres from each point to each pivot."""
-        dots = np.clip(unit_vectors(lon, lat) @ unit_vectors(self.lon, self.lat).T, -1, 1)
-        return EARTH_M * 2 * np.arcsin(np.sqrt((1 - dots) / 2))
+def spots(ids: np.ndarray) -> np.ndarray:
+    """A fixed scattered number of each id."""
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
 
 
 def usable(frame: DataFrame, id_column: str, source: int) -> DataFrame:
@@ -83,19 +109,20 @@ def usable(frame: DataFrame, id_column: str, source: int) -> DataFrame:
     return frame.select(F.lit(source).alias("source"), frame[id_column].cast("long").alias("id"), lon.alias("lon"), lat.alias("lat")).filter("lon between -180 and 180 and lat between -90 and 90")
 
 
-def plan_layout(points: DataFrame, queries: set[int], targets: set[int], cell_points: int) -> Layout:
-    """Pivots and block grids from one counting pass and a sample of at most about SAMPLE rows."""
+def plan_layout(points: DataFrame, queries: set[int], targets: set[int], cell_points: int, pivots_from: int | None = None) -> Layout:
+    """Pivots and block grids from one counting pass and a sample of at most about SAMPLE rows; pivots of one source only if it is named."""
     counts = {r["source"]: r["n"] for r in points.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     share = max(1, math.ceil(total / SAMPLE))
     sample = points.filter(F.pmod(F.xxhash64("source", "id"), F.lit(share)) == 0).select("source", "id", "lon", "lat").toPandas().sort_values(["source", "id"])
     lon, lat = np.radians(sample["lon"].to_numpy(float)), np.radians(sample["lat"].to_numpy(float))
-    places = np.unique(np.stack([lon, lat], axis=1), axis=0) if len(lon) else np.zeros((1, 2))
+    own = sample["source"].to_numpy() == pivots_from if pivots_from is not None else np.ones(len(lon), bool)
+    places = np.unique(np.stack([lon[own], lat[own]], axis=1), axis=0) if own.any() else np.zeros((1, 2))
     k = int(min(MAX_PIVOTS, len(places), max(1, math.ceil(total / cell_points))))
     pick = np.random.default_rng(7).permutation(len(places))[:k]
     layout = Layout(places[pick, 0], places[pick, 1], np.ones(k, np.int64), np.ones(k, np.int64))
     if len(lon):
-        home = np.concatenate([layout.to_pivots(lon[i : i + 4096], lat[i : i + 4096]).argmin(axis=1) for i in range(0, len(lon), 4096)])
+        home = layout.tree.nearest(lon, lat)[0]
         kinds = sample["source"].to_numpy()
         for kept, name in ((targets, "rows"), (queries, "columns")):
             size = np.bincount(home[np.isin(kinds, list(kept))], minlength=k) * share
@@ -134,28 +161,20 @@ def voronoi_join(
             for start in range(0, batch.num_rows, 8192):
                 part = batch.slice(start, 8192)
                 source, ids, lon, lat = (part.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-                away = grid.to_pivots(np.radians(lon), np.radians(lat))
-                home = away.argmin(axis=1)
-                own = away[np.arange(len(home)), home]
-                spot = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                x, y = np.radians(lon), np.radians(lat)
+                home, own = grid.tree.nearest(x, y)
+                spot = spots(ids)
                 stay = np.flatnonzero(np.isin(source, list(targets)))
-                # A target goes to every column of its row.
-                wide = grid.columns[home[stay]]
-                who = np.repeat(stay, wide)
-                column = np.arange(len(who)) - np.repeat(np.cumsum(wide) - wide, wide)
-                cells = grid.base[home[who]] + (spot[who] % grid.rows[home[who]].astype(np.uint64)).astype(np.int64) * grid.columns[home[who]] + column
+                who, cells = grid.target_blocks(home[stay], spot[stay])
+                who = stay[who]
                 yield _routed(cells, TARGET, source[who], ids[who], lon[who], lat[who])
                 for kind, metres in radius.items():
                     asks = np.flatnonzero(source == kind) if metres >= 0 else ()
                     if not len(asks):
                         continue
-                    q, cell = np.nonzero(away[asks] <= own[asks][:, None] + 2 * metres + SLACK_M)
-                    q = asks[q]
-                    # A query goes to every row of its column.
-                    tall = grid.rows[cell]
-                    who, cell = np.repeat(q, tall), np.repeat(cell, tall)
-                    row = np.arange(len(who)) - np.repeat(np.cumsum(tall) - tall, tall)
-                    cells = grid.base[cell] + row * grid.columns[cell] + (spot[who] % grid.columns[cell].astype(np.uint64)).astype(np.int64)
+                    q, cell = grid.cells_within(x[asks], y[asks], own[asks] + 2 * metres + SLACK_M)
+                    who, cells = grid.query_blocks(cell, spot[asks[q]])
+                    who = asks[q[who]]
                     yield _routed(cells, QUERY, source[who], ids[who], lon[who], lat[who])
 
     routed = everything.mapInArrow(route_points, ROUTED)
@@ -168,8 +187,8 @@ def voronoi_join(
                 if outline is None:
                     continue
                 lon, lat, metres = _ball(outline[0])
-                away = grid.to_pivots(np.radians([lon]), np.radians([lat]))[0]
-                for cell in np.flatnonzero(away <= away.min() + 2 * metres + SLACK_M):
+                x, y = np.radians([lon]), np.radians([lat])
+                for cell in grid.cells_within(x, y, grid.tree.nearest(x, y)[1] + 2 * metres + SLACK_M)[1]:
                     # Outlines meet each target once: in the first column of every row.
                     blocks = grid.base[cell] + np.arange(grid.rows[cell]) * grid.columns[cell]
                     n = len(blocks)
@@ -187,7 +206,7 @@ def voronoi_join(
     withins = [(r.name, number[r.point], number[r.region]) for r in within]
 
     def join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in _by_cell(batches):
+        for cell in by_cell(batches):
             yield from join_cell(cell, nears, withins, Layout(*shared.value))
 
     together = routed.repartition(4 * slots(spark), "cell").sortWithinPartitions("cell")
@@ -219,7 +238,7 @@ def _ball(outline: np.ndarray) -> tuple[float, float, float]:
     return lon, lat, min(away * 1.02 + 1, math.pi * EARTH_M)
 
 
-def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Whole cells from batches sorted by cell."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -274,3 +293,27 @@ def join_cell(cell: pa.Table, nears: list[tuple], withins: list[tuple], grid: La
 
 def _pairs(name: str, one: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([name] * len(one)), pa.array(one, pa.int64()), pa.array(other, pa.int64())], names=["rel", "point_id", "other_id"])
+
+
+def joined_places(spark: SparkSession, points: dict[str, tuple[DataFrame, str]], near: list[Near], cell_points: int = CELL_POINTS) -> DataFrame:
+    """(rel, place_id, other_id, points, others): ``near`` between places instead of points, a place being all points of a set with equal coordinates.
+
+    A place is named by its least id and has its number of points, so copies of one place give one row and not their square; within one set a place of
+    several points is also met with itself. The pairs of points are the products.
+    """
+    places, sizes = {}, None
+    for name, (frame, id_column) in points.items():
+        held = usable(frame, id_column, 0).groupBy("lon", "lat").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+        places[name] = (held, "id")
+        size = held.select(F.lit(name).alias("set"), "id", "n")
+        sizes = size if sizes is None else sizes.unionByName(size)
+    sets = spark.createDataFrame([(r.name, r.query, r.target) for r in near], "rel string, query string, target string")
+    pairs = voronoi_join(spark, places, near, cell_points=cell_points).withColumnRenamed("point_id", "place_id")
+    for r in near:
+        if r.query == r.target:
+            same = places[r.query][0].filter("n > 1").select(F.lit(r.name).alias("rel"), F.col("id").alias("place_id"), F.col("id").alias("other_id"))
+            pairs = pairs.unionByName(same)
+    told = pairs.join(F.broadcast(sets), "rel")
+    one = sizes.select(F.col("set").alias("query"), F.col("id").alias("place_id"), F.col("n").alias("points"))
+    other = sizes.select(F.col("set").alias("target"), F.col("id").alias("other_id"), F.col("n").alias("others"))
+    return told.join(one, ["query", "place_id"]).join(other, ["target", "other_id"]).select("rel", "place_id", "other_id", "points", "others")

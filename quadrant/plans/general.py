@@ -6,21 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrant.operators.packed_fields import three_part, unpacked
-from quadrant.operators.voronoi_join import Near, Within, voronoi_join
+from quadrant.operators.voronoi_join import Near, Within, joined_places, voronoi_join
 from quadrant.sources.tables import table
 
 
+NEAR = [Near("amenity_lamp", "amenity", "lamp", 15), Near("amenity_label", "amenity", "label", 40), Near("amenity_amenity", "amenity", "amenity", 8)]
+
+
+def _points(spark: SparkSession, folder: str) -> dict[str, tuple[DataFrame, str]]:
+    named = {"amenity": ("amenities", "amenity_id"), "label": ("labels", "label_id"), "lamp": ("lamps", "lamp_id")}
+    return {name: (table(spark, folder, source, key, "lon", "lat"), key) for name, (source, key) in named.items()}
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Neighbours of amenities, and the campus outlines that contain amenities, labels and lamps."""
-    points = {
-        "amenity": (table(spark, folder, "amenities", "amenity_id", "lon", "lat"), "amenity_id"),
-        "label": (table(spark, folder, "labels", "label_id", "lon", "lat"), "label_id"),
-        "lamp": (table(spark, folder, "lamps", "lamp_id", "lon", "lat"), "lamp_id"),
-    }
+    points = _points(spark, folder)
     campus = {"campus": (table(spark, folder, "campus_boundary", "boundary_id", "rings"), "boundary_id")}
-    near = [Near("amenity_lamp", "amenity", "lamp", 15), Near("amenity_label", "amenity", "label", 40), Near("amenity_amenity", "amenity", "amenity", 8)]
-    within = [Within(f"{name}_campus", name, "campus") for name in points]
-    return voronoi_join(spark, points, near, campus, within)
+    return voronoi_join(spark, points, NEAR, campus, [Within(f"{name}_campus", name, "campus") for name in points])
+
+
+def p3_places(spark: SparkSession, folder: str) -> DataFrame:
+    """The neighbours of p3_found between places with their numbers of points, so that copies of one place do not multiply."""
+    return joined_places(spark, _points(spark, folder), NEAR)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,7 +42,7 @@ def p5_values(spark: SparkSession, folder: str) -> DataFrame:
     return values.groupBy("at").agg(F.count(F.lit(1)).alias("found"), F.count(F.when(F.col("value") == "", 1)).alias("blank"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_values": p5_values}
+QUERIES = {"p3_found": p3_found, "p3_places": p3_places, "p5_found": p5_found, "p5_values": p5_values}
 
 _DISTANCE = """2 * 6371008.8 * asin(least(1.0, sqrt(
     pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"""
@@ -65,4 +72,16 @@ UNION ALL SELECT 'amenity_amenity', a.id, b.id FROM u a JOIN u b ON {_BOXED}
   WHERE a.kind = 'amenity' AND b.kind = 'amenity' AND a.id < b.id AND {_DISTANCE} <= 8
 UNION ALL SELECT kind || '_campus', id, boundary_id FROM parity GROUP BY kind, id, boundary_id
   HAVING sum(CASE WHEN r = 1 THEN odd ELSE 0 END) = 1 AND sum(CASE WHEN r > 1 THEN odd ELSE 0 END) = 0""",
+    "p3_places": f"""
+WITH p AS (
+  SELECT 'amenity' AS kind, amenity_id AS i, lon, lat FROM amenities
+  UNION ALL SELECT 'label', label_id, lon, lat FROM labels
+  UNION ALL SELECT 'lamp', lamp_id, lon, lat FROM lamps),
+u AS (SELECT kind, lon, lat, min(i) AS id, count(*) AS n FROM p WHERE lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90 GROUP BY kind, lon, lat)
+SELECT 'amenity_lamp' AS rel, a.id AS place_id, b.id AS other_id, a.n AS points, b.n AS others FROM u a JOIN u b ON {_BOXED}
+  WHERE a.kind = 'amenity' AND b.kind = 'lamp' AND {_DISTANCE} <= 15
+UNION ALL SELECT 'amenity_label', a.id, b.id, a.n, b.n FROM u a JOIN u b ON {_BOXED}
+  WHERE a.kind = 'amenity' AND b.kind = 'label' AND {_DISTANCE} <= 40
+UNION ALL SELECT 'amenity_amenity', a.id, b.id, a.n, b.n FROM u a JOIN u b ON {_BOXED}
+  WHERE a.kind = 'amenity' AND b.kind = 'amenity' AND (a.id < b.id OR (a.id = b.id AND a.n > 1)) AND {_DISTANCE} <= 8""",
 }

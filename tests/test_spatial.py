@@ -78,3 +78,29 @@ def test_tree_with_many_equal_points():
     tree = VantageTree(np.zeros(5000), np.zeros(5000))
     pairs = sum(len(q) for q, _ in tree.within(np.zeros(3), np.zeros(3), 1.0))
     assert pairs == 15_000
+
+
+def test_nearest_in_cells_equals_the_held_tree(spark):
+    bad = [(900, None, 50.0, "x", None), (902, 200.0, 50.0, "x", None)]
+    a = points(3, 200) + bad + [(300 + i, 10.0, 50.0, "x", None) for i in range(60)] + [(300, 10.0, 50.0, "x", None), (401, 10.3, 50.2, "x", None)]
+    b = points(4, 250) + bad + [(500 + i, 10.0005, 50.0, "x", None) for i in range(60)]
+    one, other = spark.createDataFrame(a, POINT), spark.createDataFrame(b, POINT)
+    want = sorted(tuple(r) for r in nearest_join(one, "id", other, "id").collect())
+    got = sorted(tuple(r) for r in nearest_join(one, "id", other, "id", held_points=0, cell_points=10).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want] and len(got) == len(a) - 2
+    assert max(abs(x[2] - y[2]) for x, y in zip(got, want, strict=True)) < 1e-6
+    assert nearest_join(one, "id", other.limit(0), "id", held_points=-1).count() == 0
+
+
+def test_places_with_their_counts_stand_for_all_pairs(spark):
+    from quadrant.operators.voronoi_join import joined_places
+
+    a = points(5, 60) + [(100 + i, 10.0, 50.0, "x", None) for i in range(30)]
+    b = points(6, 60) + [(200 + i, 10.0, 50.0, "x", None) for i in range(20)]
+    sets = {"a": (spark.createDataFrame(a, POINT), "id"), "b": (spark.createDataFrame(b, POINT), "id")}
+    near = [Near("ab", "a", "b", 300), Near("aa", "a", "a", 200)]
+    rows = joined_places(spark, sets, near, cell_points=20).collect()
+    ab = sum(r["points"] * r["others"] for r in rows if r["rel"] == "ab")
+    aa = sum(r["points"] * (r["points"] - 1) // 2 if r["place_id"] == r["other_id"] else r["points"] * r["others"] for r in rows if r["rel"] == "aa")
+    assert ab == len(brute(a, b, 300)) and aa == len({p for p in brute(a, a, 200) if p[0] < p[1]})
+    assert [r["points"] for r in rows if r["rel"] == "aa" and r["place_id"] == 100 and r["other_id"] == 100] == [30]
