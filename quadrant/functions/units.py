@@ -34,10 +34,10 @@ def walk_label(metres: Column, metres_per_second: float = 1.4) -> Column:
 
 
 def turn_kind(degrees: Column) -> Column:
-    """straight, slight, turn or u-turn with its side, by the change of bearing; boundaries belong to the sharper kind below 150."""
+    """straight, slight, turn or u-turn with its side, by the change of bearing; 20 is slight, 60 still slight, 150 still a turn."""
     size = F.abs(degrees)
     side = F.when(degrees > 0, "right").otherwise("left")
-    return F.when(size < 20, "straight").when(size > 150, "uturn").when(size < 60, F.concat(F.lit("slight-"), side)).otherwise(side)
+    return F.when(size < 20, "straight").when(size > 150, "uturn").when(size <= 60, F.concat(F.lit("slight-"), side)).otherwise(side)
 
 
 def bonus_for(weight: Column, most: float = 20.0, midpoint: float = 3.0) -> Column:

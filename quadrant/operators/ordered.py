@@ -41,7 +41,10 @@ def scan_ordered(frame: DataFrame, key: str, order: list[str], values: list[str]
 
 
 def rate_limit(events: DataFrame, key: str, at_ms: str, order: str, window_ms: int, most: int) -> DataFrame:
-    """(order, allowed, remaining, retry_after): a window opens at a key's first event after the last one ended; refused events count as well."""
+    """(order, allowed, remaining, retry_after): a window opens at a key's first event after the last one ended; refused events count as well.
+
+    ``retry_after`` is the whole seconds until the window ends, one at least, for allowed events too.
+    """
 
     def start() -> dict:
         return {"until": None, "count": 0}
@@ -52,7 +55,7 @@ def rate_limit(events: DataFrame, key: str, at_ms: str, order: str, window_ms: i
             state["until"], state["count"] = now + window_ms, 0
         state["count"] += 1
         allowed = state["count"] <= most
-        return [(row[2], allowed, max(0, most - state["count"]), 0 if allowed else max(1, -(-(state["until"] - now) // 1000)))]
+        return [(row[2], allowed, max(0, most - state["count"]), max(1, -(-(state["until"] - now) // 1000)))]
 
     return scan_ordered(events, key, [at_ms, order], [], start, step, f"{order} long, allowed boolean, remaining long, retry_after long")
 

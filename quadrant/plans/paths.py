@@ -98,7 +98,7 @@ def _sql_bearing(a: str, b: str, c: str, d: str) -> str:
 _RAW = f"({_sql_bearing('lon', 'lat', 'lon2', 'lat2')} - {_sql_bearing('lon0', 'lat0', 'lon', 'lat')})"
 _TURNS = f"""{_STEPS}, b AS (SELECT *, {_RAW} AS raw FROM s), d AS (SELECT *, CASE WHEN raw > 180 THEN raw - 360 WHEN raw < -180 THEN raw + 360 ELSE raw END AS turn FROM b),
 t AS (SELECT *, CASE WHEN lon0 IS NULL THEN 'depart' WHEN lon2 IS NULL THEN 'arrive' WHEN abs(turn) < 20 THEN 'straight' WHEN abs(turn) > 150 THEN 'uturn'
-  WHEN abs(turn) < 60 THEN 'slight-' || CASE WHEN turn > 0 THEN 'right' ELSE 'left' END ELSE CASE WHEN turn > 0 THEN 'right' ELSE 'left' END END AS kind FROM d)"""
+  WHEN abs(turn) <= 60 THEN 'slight-' || CASE WHEN turn > 0 THEN 'right' ELSE 'left' END ELSE CASE WHEN turn > 0 THEN 'right' ELSE 'left' END END AS kind FROM d)"""
 _FEET = "3.28084"
 
 ORACLES = {

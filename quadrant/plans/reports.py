@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrant.functions.text import first_match, squeezed_key
 from quadrant.functions.units import half_up
+from quadrant.operators.farthest import spread
 from quadrant.sources.tables import table
 
 #: Kinds of parts, in the order they are listed; every one is listed, empty or not.
@@ -15,10 +16,12 @@ PART_RULES = [(r"^economy\b", "economy"), (r"\bpromo", "promo"), (r"^medium\b",
 
 
 def group_index(spark: SparkSession, folder: str) -> DataFrame:
-    """Amenities by label: how many, the kind of the first, and all ids in order."""
-    rows = table(spark, folder, "amenities", "amenity_id", "kind", "label").filter("label is not null")
-    grouped = rows.groupBy("label").agg(F.count(F.lit(1)).alias("points"), F.min(F.struct("amenity_id", "kind")).alias("first"), F.array_sort(F.collect_list("amenity_id")).alias("ids"))
-    return grouped.select("label", "points", F.col("first.kind").alias("first_kind"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("ids_md5"))
+    """Amenities with a position by label: how many, the kind of the first, and all points in the order of their ids."""
+    rows = table(spark, folder, "amenities", "amenity_id", "kind", "label", "lon", "lat").filter("label is not null and lon is not null and lat is not null")
+    point = F.struct("amenity_id", F.round(F.col("lon") * 1e7).cast("long").alias("x"), F.round(F.col("lat") * 1e7).cast("long").alias("y"))
+    grouped = rows.groupBy("label").agg(F.count(F.lit(1)).alias("points"), F.min(F.struct("amenity_id", "kind")).alias("first"), F.array_sort(F.collect_list(point)).alias("at"))
+    text = F.array_join(F.transform("at", lambda p: F.concat_ws(" ", p["amenity_id"], p["x"], p["y"])), ",")
+    return grouped.select("label", "points", F.col("first.kind").alias("first_kind"), F.md5(text).alias("points_md5"))
 
 
 def kind_source_pivot(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,14 +95,30 @@ def first_name_wins(spark: SparkSession, folder: str) -> DataFrame:
     return both.groupBy("key").agg(F.min(F.struct("rank", "id", "name")).alias("f"), F.count(F.lit(1)).alias("uses")).select("key", F.col("f.rank").alias("source"), F.col("f.name").alias("name"), "uses")
 
 
-def label_spread(spark: SparkSession, folder: str) -> DataFrame:
-    """Per label text with several positions: how far they spread, as one place, several, or none."""
-    rows = table(spark, folder, "labels", "text", "lon", "lat").filter("text is not null")
+SPREAD_M = 250.0
+
+
+def _spreads(spark: SparkSession, folder: str) -> DataFrame:
+    """Label texts with their usable points, their mean and the largest distance of two of them."""
+    rows = table(spark, folder, "labels", "label_id", "text", "lon", "lat").filter("text is not null")
     ok = F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90)
-    box = rows.groupBy("text").agg(F.count(F.when(ok, 1)).alias("points"), *(f(F.when(ok, F.col(c))).alias(f"{n}_{c}") for c in ("lon", "lat") for n, f in (("lo", F.min), ("hi", F.max))))
-    span = F.hypot((F.col("hi_lon") - F.col("lo_lon")) * 87000, (F.col("hi_lat") - F.col("lo_lat")) * 111320)
-    kind = F.when(F.col("points") == 0, "unpositioned").when(span > 250, "class").otherwise("place")
-    return box.select("text", "points", kind.alias("kind"), half_up(span).cast("long").alias("span_m"))
+    groups = rows.groupBy("text").agg(F.count(F.when(ok, 1)).alias("points"), F.avg(F.when(ok, F.col("lon"))).alias("x"), F.avg(F.when(ok, F.col("lat"))).alias("y"))
+    kind = F.when(F.col("points") == 0, "unpositioned").when(F.col("spread_m") > SPREAD_M, "amenity_class").otherwise("place")
+    return groups.join(spread(rows, "text"), "text", "left").withColumn("kind", kind)
+
+
+def label_spread(spark: SparkSession, folder: str) -> DataFrame:
+    """Per label text: how far its points spread, and whether it is one place, a class of several, or nowhere."""
+    return _spreads(spark, folder).select("text", "points", "kind", half_up(F.round("spread_m", 6)).cast("long").alias("span_m"))
+
+
+def place_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Places made of labels of one text: one row at the mean of its points, a row for each point of a class, one row without a point if there is none."""
+    spreads = _spreads(spark, folder)
+    rows = table(spark, folder, "labels", "label_id", "text", "lon", "lat").filter("lon between -180 and 180 and lat between -90 and 90")
+    members = rows.join(spreads.filter("kind = 'amenity_class'").select("text", "kind"), "text").select("text", "kind", "label_id", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), F.lit(None).cast("long").alias("spread_m"))
+    single = spreads.filter("kind <> 'amenity_class'").select("text", "kind", F.lit(None).cast("long").alias("label_id"), F.round("x", 7).alias("lon"), F.round("y", 7).alias("lat"), F.when(F.col("kind") == "place", half_up(F.round("spread_m", 6)).cast("long")).alias("spread_m"))
+    return members.unionByName(single)
 
 
 def lang_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,7 +134,7 @@ def late_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(hours.alias("hours")).agg(F.count(F.lit(1)).alias("meetings"))
 
 
-QUERIES = {f.__name__: f for f in (group_index, kind_source_pivot, facility_counts, unique_label_only, class_partition, grid_minmax, roof_percentiles, room_lookup, room_ambiguity, course_first_title, first_name_wins, label_spread, lang_sources, late_rows)}
+QUERIES = {f.__name__: f for f in (group_index, kind_source_pivot, facility_counts, unique_label_only, class_partition, grid_minmax, roof_percentiles, room_lookup, room_ambiguity, course_first_title, first_name_wins, label_spread, place_rows, lang_sources, late_rows)}
 
 _KEY = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
 _LOOKUP = f"""
@@ -125,9 +144,16 @@ m AS (SELECT {_KEY.format("building")} AS key, upper(trim(room, ' ')) AS room FR
 p AS (SELECT name, room, count(*) AS meetings FROM m JOIN k USING (key) GROUP BY name, room),
 o AS (SELECT *, count(*) OVER (PARTITION BY room) AS one_of FROM p)"""
 
+_SPREADS = """WITH u AS (SELECT * FROM labels WHERE text IS NOT NULL AND lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90),
+d AS (SELECT DISTINCT text, lon, lat FROM u),
+f AS (SELECT a.text, max(sqrt(pow((a.lon - b.lon) * 111320 * cos(radians(a.lat)), 2) + pow((a.lat - b.lat) * 111320, 2))) AS spread_m FROM d a JOIN d b ON a.text = b.text GROUP BY a.text),
+g AS (SELECT t.text, count(u.label_id) AS points, avg(u.lon) AS x, avg(u.lat) AS y FROM (SELECT DISTINCT text FROM labels WHERE text IS NOT NULL) t LEFT JOIN u ON u.text = t.text GROUP BY t.text),
+k AS (SELECT g.*, f.spread_m, CASE WHEN points = 0 THEN 'unpositioned' WHEN spread_m > 250 THEN 'amenity_class' ELSE 'place' END AS kind FROM g LEFT JOIN f ON f.text = g.text)"""
+
 ORACLES = {
-    "group_index": """SELECT label, count(*) AS points, arg_min_null(kind, amenity_id) AS first_kind, md5(array_to_string(list_sort(list(amenity_id)), ',')) AS ids_md5
-FROM amenities WHERE label IS NOT NULL GROUP BY label""",
+    "group_index": """SELECT label, count(*) AS points, arg_min_null(kind, amenity_id) AS first_kind,
+md5(string_agg(amenity_id || ' ' || CAST(round(lon * 1e7) AS BIGINT) || ' ' || CAST(round(lat * 1e7) AS BIGINT), ',' ORDER BY amenity_id)) AS points_md5
+FROM amenities WHERE label IS NOT NULL AND lon IS NOT NULL AND lat IS NOT NULL GROUP BY label""",
     "kind_source_pivot": "SELECT kind, count(*) FILTER (WHERE source = 'artwork') AS artwork, count(*) FILTER (WHERE source = 'locations') AS locations FROM amenities GROUP BY kind",
     "facility_counts": """SELECT split_part(name, ' ', -1) AS kind, CAST(sum(footprints) AS BIGINT) AS footprints, CAST(sum(area_m2) AS BIGINT) AS area_m2, count(*) AS entries,
 CAST(sum(coalesce(len(parts), 0)) AS BIGINT) AS parts, arg_max(name, {'a': area_m2, 'n': name}) AS largest FROM directory GROUP BY 1""",
@@ -145,10 +171,10 @@ round(quantile_cont(height_m, 0.9), 6) AS p90, count(*) AS roofs FROM roofs WHER
     "course_first_title": "SELECT course, arg_min_null(title, meeting_id) AS title, count(DISTINCT title) AS titles, count(DISTINCT section) AS sections FROM meetings WHERE course IS NOT NULL GROUP BY course",
     "first_name_wins": f"""WITH b AS (SELECT 0 AS source, building_id AS id, name FROM directory UNION ALL SELECT 1, roof_id, name FROM roofs), k AS (SELECT *, {_KEY.format("name")} AS key FROM b WHERE name IS NOT NULL)
 SELECT key, source, name, uses FROM (SELECT *, count(*) OVER (PARTITION BY key) AS uses, row_number() OVER (PARTITION BY key ORDER BY source, id) AS rn FROM k WHERE key <> '') WHERE rn = 1""",
-    "label_spread": """WITH b AS (SELECT text, lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90 AS ok, lon, lat FROM labels WHERE text IS NOT NULL),
-g AS (SELECT text, count(*) FILTER (WHERE ok) AS points, max(lon) FILTER (WHERE ok) - min(lon) FILTER (WHERE ok) AS dx, max(lat) FILTER (WHERE ok) - min(lat) FILTER (WHERE ok) AS dy FROM b GROUP BY text),
-s AS (SELECT text, points, sqrt(pow(dx * 87000, 2) + pow(dy * 111320, 2)) AS span FROM g)
-SELECT text, points, CASE WHEN points = 0 THEN 'unpositioned' WHEN span > 250 THEN 'class' ELSE 'place' END AS kind, CAST(floor(span + 0.5) AS BIGINT) AS span_m FROM s""",
+    "label_spread": f"{_SPREADS} SELECT text, points, kind, CAST(floor(round(spread_m, 6) + 0.5) AS BIGINT) AS span_m FROM k",
+    "place_rows": f"""{_SPREADS}
+SELECT l.text, k.kind, l.label_id, round(l.lon, 7) AS lon, round(l.lat, 7) AS lat, CAST(NULL AS BIGINT) AS spread_m FROM k JOIN u l ON l.text = k.text WHERE k.kind = 'amenity_class'
+UNION ALL SELECT text, kind, NULL, round(x, 7), round(y, 7), CASE WHEN kind = 'place' THEN CAST(floor(round(spread_m, 6) + 0.5) AS BIGINT) END FROM k WHERE kind <> 'amenity_class'""",
     "lang_sources": """SELECT lower(split_part(lang, '-', 1)) AS tag, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM documents GROUP BY 1""",
     "late_rows": "SELECT CAST(floor((epoch_us(loaded_at) - epoch_us(seen_at)) / 3600000000.0) AS BIGINT) AS hours, count(*) AS meetings FROM meetings WHERE seen_at IS NOT NULL AND loaded_at IS NOT NULL GROUP BY 1",
 }

@@ -14,7 +14,7 @@ MOST = 6
 
 
 def registry(spark: SparkSession, folder: str) -> DataFrame:
-    """Names with places: the directory, then the labels, the first to have a name keeping it."""
+    """Names with places: the directory in the order of its ids."""
     directory = table(spark, folder, "directory", "building_id", "name", "anchor").select(F.col("building_id").alias("ordinal"), "name", F.get("anchor", F.lit(0)).alias("lon"), F.get("anchor", F.lit(1)).alias("lat"))
     return directory.filter("lon is not null and lat is not null")
 
@@ -100,15 +100,22 @@ co AS (SELECT course, arg_min_null(title, meeting_id) AS title FROM m WHERE cour
 k AS (SELECT DISTINCT m.course, co.title, m.building, bl.shown, bl.elsewhere, bl.lon FROM m JOIN co ON co.course = m.course JOIN bl ON bl.building = m.building)"""
 
 
-def _answered(asked: str, most: int | None = None) -> str:
-    return f"""{_INDEX},
+def answered(asked: str, most: int | None = None, first: str | None = None) -> str:
+    """WITH clauses up to ``found``, the answers to the queries of a SELECT; ``first`` is a clause that stands before them."""
+    index = _INDEX if first is None else _INDEX.replace("WITH ", f"WITH {first}, ", 1)
+    return f"""{index},
 e AS (SELECT DISTINCT {_S.format("building || ' ' || room")} AS key, shown, room, lon, building FROM r UNION SELECT DISTINCT {_S.format("shown || ' ' || room")}, shown, room, lon, building FROM r),
 ex AS (SELECT key, shown, arg_min(room, building || chr(1) || room) AS room, max(lon) AS lon, 1 AS n FROM e GROUP BY key, shown),
 ba AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM (SELECT {_S.format("room")} AS key, shown, arg_min(room, building || chr(1) || room) AS room, max(lon) AS lon FROM r GROUP BY 1, 2)),
 an AS (SELECT key, 0 AS rank, shown AS place, 'Room ' || room AS name, CASE WHEN n > 1 THEN shown || ' · one of ' || n ELSE shown END AS description, false AS elsewhere, lon IS NOT NULL AS placed FROM (SELECT * FROM ex UNION ALL SELECT key, shown, room, lon, n FROM ba)
   UNION ALL SELECT {_S.format("course")}, 1, shown, arg_min(concat_ws(' — ', course, title), course || chr(1) || building), CASE WHEN elsewhere THEN shown || ' · not on this campus' ELSE shown END, elsewhere, max(lon) IS NOT NULL AND NOT elsewhere FROM k GROUP BY 1, shown, elsewhere),
-q AS (SELECT DISTINCT query, {_S.format("query")} AS key FROM ({asked}))
-SELECT * FROM (SELECT q.query, CAST(row_number() OVER (PARTITION BY q.query ORDER BY rank, elsewhere, place, name) AS INTEGER) AS position, rank, place, name, description, elsewhere, placed FROM q JOIN an ON an.key = q.key WHERE q.key <> '') {f"WHERE position <= {most}" if most else ""}"""
+q AS (SELECT DISTINCT query, {_S.format("query")} AS key FROM ({asked})),
+every AS (SELECT q.query, CAST(row_number() OVER (PARTITION BY q.query ORDER BY rank, elsewhere, place, name) AS INTEGER) AS position, rank, place, name, description, elsewhere, placed FROM q JOIN an ON an.key = q.key WHERE q.key <> ''),
+found AS (SELECT * FROM every {f"WHERE position <= {most}" if most else ""})"""
+
+
+def _answered(asked: str, most: int | None = None) -> str:
+    return f"{answered(asked, most)} SELECT * FROM found"
 
 
 ORACLES = {

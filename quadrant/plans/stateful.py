@@ -18,7 +18,7 @@ def _events(spark: SparkSession, folder: str, *more: str) -> DataFrame:
 
 def rate_limit(spark: SparkSession, folder: str) -> DataFrame:
     """One event per user and window of half a day that opens at the first."""
-    return ordered.rate_limit(_events(spark, folder), "user_id", "at", "event_id", HALF_DAY_MS, 1).select("event_id", "allowed")
+    return ordered.rate_limit(_events(spark, folder), "user_id", "at", "event_id", HALF_DAY_MS, 1)
 
 
 def flushes(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,9 +79,9 @@ QUERIES = {f.__name__: f for f in (rate_limit, flushes, latched, latest_wins, as
 _GAPS = "WITH g AS (SELECT event_id, user_id, ts, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000000.0 AS gap FROM events)"
 ORACLES = {
     "rate_limit": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
-r AS (SELECT user_id, rn, event_id, ms + 43200000 AS ends, true AS allowed FROM e WHERE rn = 1
-  UNION ALL SELECT e.user_id, e.rn, e.event_id, CASE WHEN r.ends <= e.ms THEN e.ms + 43200000 ELSE r.ends END, r.ends <= e.ms FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
-SELECT event_id, allowed FROM r""",
+r AS (SELECT user_id, rn, event_id, ms, ms + 43200000 AS ends, 1 AS n FROM e WHERE rn = 1
+  UNION ALL SELECT e.user_id, e.rn, e.event_id, e.ms, CASE WHEN r.ends <= e.ms THEN e.ms + 43200000 ELSE r.ends END, CASE WHEN r.ends <= e.ms THEN 1 ELSE r.n + 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+SELECT event_id, n <= 1 AS allowed, CAST(greatest(0, 1 - n) AS BIGINT) AS remaining, CAST(greatest(1, ceil((ends - ms) / 1000.0)) AS BIGINT) AS retry_after FROM r""",
     "latest_wins": "SELECT user_id, event_type, arg_max(event_id, {'t': ts, 'e': event_id}) AS event_id FROM events GROUP BY 1, 2",
     "asof_fresh": """WITH v AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN {'e': event_id, 't': ts} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS v FROM events)
 SELECT event_id, CASE WHEN (epoch_us(ts) - epoch_us(v.t)) / 1000000.0 < 43200 THEN v.e END AS view_id FROM v WHERE event_type = 'purchase'""",
