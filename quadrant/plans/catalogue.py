@@ -1,7 +1,7 @@
 """All core queries and their SQL by name."""
 
-from quadrant.plans import features, general, network, paths, ranking, reports, rooms, spatial, stateful
+from quadrant.plans import features, general, network, paths, ranking, reports, rooms, shapes, spatial, stateful
 
-MODULES = [spatial, reports, rooms, ranking, paths, stateful, features, network, general]
+MODULES = [spatial, shapes, reports, rooms, ranking, paths, stateful, features, network, general]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
