@@ -196,3 +196,7 @@ SELECT c_custkey, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM t WHERE NOT o AND
     "lamp_grid": """WITH c AS (SELECT CAST(floor(lon * 1000) AS BIGINT) AS ix, CAST(floor(lat * 1000) AS BIGINT) AS iy, count(*) AS lamps FROM lamps WHERE lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90 GROUP BY 1, 2)
 SELECT ix, iy, lamps FROM (SELECT *, row_number() OVER (PARTITION BY iy ORDER BY lamps DESC, ix) AS rn FROM c) WHERE rn = 1""",
 }
+
+#: WITH clauses up to ``inside`` (point and outline), for other modules' SQL; and the clause of the outlines' sizes.
+INSIDE_SQL = _INSIDE
+AREA_SQL = "sized AS (SELECT boundary_id, round(a * 1e9, 3) AS size FROM size)"
