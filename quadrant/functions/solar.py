@@ -16,6 +16,11 @@ def _sin(degrees: Column) -> Column:
 
 def sun_elevation(ts: Column, lon: Column, lat: Column) -> tuple[Column, Column]:
     """(elevation, hour angle) in degrees at a UTC timestamp."""
+    return sun_place(ts, lon, lat)[:2]
+
+
+def sun_place(ts: Column, lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    """(elevation, hour angle, declination) in degrees at a UTC timestamp."""
     micros = F.unix_micros(ts.cast("timestamp")).cast("double")
     century = (micros / 86_400_000_000.0 + 2_440_587.5 - 2_451_545.0) / 36_525.0
     # Coefficients of the series.
@@ -34,7 +39,7 @@ def sun_elevation(ts: Column, lon: Column, lat: Column) -> tuple[Column, Column]
     minute = (F.pmod(micros, F.lit(86_400_000_000.0))) / 60_000_000.0
     hour_angle = ((minute + equation + lon * 4 + 1440) % 1440) / 4 - 180
     elevation = F.degrees(F.asin(F.sin(F.radians(lat)) * F.sin(declination) + F.cos(F.radians(lat)) * F.cos(declination) * F.cos(F.radians(hour_angle))))
-    return elevation, hour_angle
+    return elevation, hour_angle, F.degrees(declination)
 
 
 def light_preset(elevation: Column, hour_angle: Column) -> Column:
