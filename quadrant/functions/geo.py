@@ -43,6 +43,14 @@ class FlatModel:
         across = F.lit(self.lat_m) * F.cos(F.radians(lat1)) if self.follow_latitude else F.lit(self.lon_m)
         return F.hypot((lon2 - lon1) * across, (lat2 - lat1) * F.lit(self.lat_m))
 
+    def flat(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        """Metres east and north of the origin of degrees."""
+        return lon * self.lon_m, lat * self.lat_m
+
+    def unflat(self, x: Column, y: Column, places: int = 7) -> tuple[Column, Column]:
+        """Degrees of flat metres, rounded."""
+        return F.round(x / self.lon_m, places), F.round(y / self.lat_m, places)
+
 
 _RAD = math.pi / 180
 #: The flat models in use; results differ in the third digit, so each operator names its own.
@@ -81,10 +89,23 @@ def affine(x: Column, y: Column, a: float, b: float, c: float, d: float, e: floa
     return F.round(F.lit(a) + x * b + y * c, places), F.round(F.lit(d) + x * e + y * f, places)
 
 
+def affine_inverse(lon: Column, lat: Column, a: float, b: float, c: float, d: float, e: float, f: float) -> tuple[Column, Column]:
+    """Drawing units of degrees: what affine() of the same numbers maps there, before rounding."""
+    det = b * f - c * e
+    return ((lon - a) * f - (lat - d) * c) / det, ((lat - d) * b - (lon - a) * e) / det
+
+
+def grown_box(extent: Column, margin_m: float) -> Column:
+    """STRUCT<west, south, east, north> of an extent (lon, lat, half_width, half_height in metres of model D7) with a margin on every side."""
+    model = FLAT_MODELS["D7"]
+    dx, dy = (extent["half_width"] + margin_m) / model.lon_m, (extent["half_height"] + margin_m) / model.lat_m
+    return F.struct((extent["lon"] - dx).alias("west"), (extent["lat"] - dy).alias("south"), (extent["lon"] + dx).alias("east"), (extent["lat"] + dy).alias("north"))
+
+
 def parse_coordinate(text: Column) -> Column:
     """STRUCT<lon, lat> of 'lon,lat', null unless both are finite and in range. An empty part counts as 0, as a blank number does in the source form."""
     parts = F.split(text, ",", -1)
-    number = lambda i: F.when(F.trim(parts[i]) == "", F.lit(0.0)).otherwise(parts[i].try_cast("double"))
+    number = lambda i: F.when(F.trim(F.get(parts, F.lit(i))) == "", F.lit(0.0)).otherwise(F.get(parts, F.lit(i)).try_cast("double"))
     lon, lat = number(0), number(1)
     good = (F.size(parts) == 2) & ~F.isnan(lon) & ~F.isnan(lat) & (F.abs(lon) <= 180) & (F.abs(lat) <= 90)
     return F.when(good, F.struct(lon.alias("lon"), lat.alias("lat")))

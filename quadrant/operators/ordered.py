@@ -121,3 +121,19 @@ def capped_visits(events: DataFrame, key: str, at_ms: str, order: str, name: str
         return [(row[0], row[2], visited, state.get(visited, (0.0, now))[0], now)]
 
     return scan_ordered(events, key, [at_ms, order], [name], start, step, f"{key} long, {order} long, name string, weight double, at long")
+
+
+def reused_until(events: DataFrame, key: str, at_ms: str, order: str, lifetime_ms: str, slack_ms: int) -> DataFrame:
+    """(order, minted, expires): a kept thing is used again while it has more than ``slack_ms`` to live, else a new one is made, which lives for the row's
+    ``lifetime_ms``; a null lifetime is a failure, after which nothing is kept."""
+
+    def start() -> dict:
+        return {"expires": None}
+
+    def step(state: dict, row: tuple) -> list[tuple]:
+        minted = state["expires"] is None or state["expires"] <= row[1] + slack_ms
+        if minted:
+            state["expires"] = None if row[3] is None else row[1] + row[3]
+        return [(row[2], minted, state["expires"])]
+
+    return scan_ordered(events, key, [at_ms, order], [lifetime_ms], start, step, f"{order} long, minted boolean, expires long")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrant.operators import graphs
+from quadrant.functions import geo
+from quadrant.operators import areas, graphs, network_clean, routing
 from quadrant.sources.tables import table
 
 
@@ -40,14 +41,128 @@ def bounded_distance(spark: SparkSession, folder: str) -> DataFrame:
     return graphs.shortest_distances(_grid(spark, folder), sources, 6.0).select("source", F.col("node").alias("s_suppkey"), F.round("dist", 6).alias("dist"))
 
 
-QUERIES = {f.__name__: f for f in (components, largest_component, shortest_path, bounded_distance)}
+def component_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """Components by size, the largest first."""
+    return graphs.component_sizes(graphs.components(_grid(spark, folder)))
+
+
+def expanded_distance(spark: SparkSession, folder: str) -> DataFrame:
+    """bounded_distance where the bound only stops the search from going on: neighbours beyond it keep their distance."""
+    sources = spark.createDataFrame([(1,), (2,), (3,)], "node long")
+    return graphs.shortest_distances(_grid(spark, folder), sources, 6.0, past_cap=True).select("source", F.col("node").alias("s_suppkey"), F.round("dist", 6).alias("dist"))
+
+
+def _walks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every customer's way to the next one, a walk over the suppliers' grid; every 50th has an end that is no position."""
+    lon, lat = geo.key_position(F.col("c_custkey"))
+    to = geo.key_position(F.col("c_custkey") + 1)
+    rows = table(spark, folder, "customer", "c_custkey")
+    return rows.select(F.col("c_custkey").alias("req"), lon.alias("from_lon"), lat.alias("from_lat"), F.when(F.col("c_custkey") % 50 == 0, 200.0).otherwise(to[0]).alias("to_lon"), to[1].alias("to_lat"))
+
+
+def _routes(spark: SparkSession, folder: str) -> DataFrame:
+    lon, lat = geo.key_position(F.col("s_suppkey") * 7919 + 4001)
+    vertices = table(spark, folder, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("vid"), lon.alias("lon"), lat.alias("lat"))
+    return routing.route(_walks(spark, folder), vertices, _grid(spark, folder))
+
+
+def route(spark: SparkSession, folder: str) -> DataFrame:
+    """Every walk answered in one row: status, ends, feet, connectors, and the path's number of vertices."""
+    rows = _routes(spark, folder)
+    return rows.select("req", "status", "which", "start", "finish", F.when(F.col("status") == "ok", F.col("feet")).alias("feet"), F.round("from_feet", 2).alias("from_feet"), F.round("to_feet", 2).alias("to_feet"))
+
+
+def route_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Walks by status and the code an interface would answer."""
+    codes = spark.createDataFrame(list(routing.HTTP_STATUS.items()), "status string, code int")
+    counted = _routes(spark, folder).groupBy("status").agg(F.count(F.lit(1)).alias("walks"))
+    return codes.join(counted, "status", "left").select("status", "code", F.coalesce("walks", F.lit(0)).alias("walks"))
+
+
+def route_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns of all answered walks by kind, with their feet."""
+    turns = _routes(spark, folder).filter("status = 'ok'").select(F.explode("maneuvers").alias("m"))
+    return turns.groupBy("m.type").agg(F.count(F.lit(1)).alias("turns"), F.sum("m.feet").alias("feet"))
+
+
+SITE_DEG = 0.02
+
+
+def _strokes(spark: SparkSession, folder: str) -> DataFrame:
+    """Three strokes by every usable label: a bar, a slanted line across it, and a bar drawn again a metre off; sites are tiles of the map, lengths in metres."""
+    rows = table(spark, folder, "labels", "label_id", "lon", "lat", "lines").filter("lon between -180 and 180 and lat between -90 and 90 and not (lon = 0 and lat = 0)")
+    i, j = F.floor(F.col("lon") / SITE_DEG), F.floor(F.col("lat") / SITE_DEG)
+    at = rows.select("label_id", F.concat_ws(",", i, j).alias("site"), F.round((F.col("lon") - i * SITE_DEG) * 87000, 3).alias("x"), F.round((F.col("lat") - j * SITE_DEG) * 111320, 3).alias("y"))
+    drawn = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), F.lit(float(c)).alias("c"), F.lit(float(d)).alias("d"), F.lit(float(w)).alias("w"), F.lit(r).alias("rank")) for a, b, c, d, w, r in ((-20, 0, 20, 0, 2, 0), (-9, -12, 11, 13, 1, 1), (-15, 1, 15, 1, 1, 2))])
+    told = at.select("label_id", "site", "x", "y", F.posexplode(drawn).alias("k", "s"))
+    return told.select("site", (F.col("label_id") * 3 + F.col("k")).alias("id"), (F.col("x") + F.col("s.a")).alias("x1"), (F.col("y") + F.col("s.b")).alias("y1"), (F.col("x") + F.col("s.c")).alias("x2"), (F.col("y") + F.col("s.d")).alias("y2"), F.col("s.w").alias("width"), F.col("s.rank").alias("rank"))
+
+
+def network_cuts(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every stroke after all have been cut at their crossings, and the metres of the pieces."""
+    pieces = network_clean.cut_at_crossings(_strokes(spark, folder))
+    return pieces.groupBy("id").agg(F.count(F.lit(1)).alias("pieces"), F.round(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), 3).alias("metres"))
+
+
+def network_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Strokes that are drawn only once, by rank."""
+    strokes = _strokes(spark, folder)
+    lines = strokes.select("site", "id", "rank", F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))).alias("points"))
+    return network_clean.kept_strokes(lines).join(strokes.select("id", "rank"), "id").groupBy("rank").agg(F.count(F.lit(1)).alias("kept"))
+
+
+def network_built(spark: SparkSession, folder: str) -> DataFrame:
+    """The network of each site after cutting, welding, collapsing, teeing and repairing: nodes, edges, metres."""
+    strokes = _strokes(spark, folder)
+    pieces = network_clean.cut_at_crossings(strokes).join(strokes.select("site", "id", "width"), ["site", "id"])
+    edges = network_clean.build_network(pieces)
+    return edges.groupBy("site").agg((F.max(F.greatest("from_node", "to_node")) + 1).alias("nodes"), F.count(F.lit(1)).alias("edges"), F.round(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), 1).alias("metres"))
+
+
+def spaced_lamps(spark: SparkSession, folder: str) -> DataFrame:
+    """Lamps taken in the order of their ids if none taken before in their tile is nearer than 18 m, those inside an outline left out."""
+    rows = table(spark, folder, "lamps", "lamp_id", "lon", "lat").filter("lon between -180 and 180 and lat between -90 and 90")
+    inside = areas.containing(rows, "lamp_id", table(spark, folder, "campus_boundary", "boundary_id", "rings"), "boundary_id").select(F.col("point").alias("lamp_id")).distinct()
+    tiles = rows.join(inside, "lamp_id", "left_anti").select("lamp_id", F.concat_ws(",", F.floor(F.col("lon") * 200), F.floor(F.col("lat") * 200)).alias("tile"), (F.col("lon") * 87000).alias("x"), (F.col("lat") * 111320).alias("y"))
+    return network_clean.greedy_spacing(tiles, "tile", "lamp_id", "x", "y", 18.0).groupBy("tile").agg(F.count(F.lit(1)).alias("lamps"))
+
+
+QUERIES = {f.__name__: f for f in (components, largest_component, component_ranks, shortest_path, bounded_distance, expanded_distance, route, route_status, route_turns, network_cuts, network_kept, network_built, spaced_lamps)}
 
 _EDGES = """e AS (SELECT s_suppkey AS src, s_suppkey + 1 AS dst, 1.0 + s_suppkey % 3 AS w FROM supplier WHERE s_suppkey % 10 <> 0 AND s_suppkey % 7 <> 3
   UNION ALL SELECT s_suppkey, s_suppkey + 10, 1.5 + s_suppkey % 2 FROM supplier WHERE s_suppkey % 4 <> 1),
 k AS (SELECT src, dst, CAST(w AS DOUBLE) AS w FROM e WHERE dst IN (SELECT s_suppkey FROM supplier)),
 b AS (SELECT src, dst, w FROM k UNION ALL SELECT dst, src, w FROM k)"""
 _COMPONENTS = f"WITH RECURSIVE {_EDGES}, r AS (SELECT DISTINCT src AS node, src AS label FROM b UNION SELECT b.dst, r.label FROM r JOIN b ON b.src = r.node), c AS (SELECT node, min(label) AS component FROM r GROUP BY node)"
+# Shortest distances between all pairs by squaring: each step joins ways of up to twice as many edges.
+_ALL_PAIRS = f"""WITH {_EDGES}, n AS (SELECT DISTINCT src AS v FROM b), d0 AS MATERIALIZED (SELECT v AS s, v AS t, CAST(0 AS DOUBLE) AS d FROM n UNION ALL SELECT src, dst, min(w) FROM b GROUP BY 1, 2),
+""" + ",\n".join(f"d{i} AS MATERIALIZED (SELECT x.s, y.t, min(x.d + y.d) AS d FROM d{i - 1} x JOIN d{i - 1} y ON x.t = y.s GROUP BY 1, 2)" for i in range(1, 8))
+_POINT = "(-121.36 + CAST(({k} * 7919) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE) * CAST(0.02 AS DOUBLE)) AS lon, (38.635 + CAST(({k} * 104729) % 9973 AS DOUBLE) / CAST(9973 AS DOUBLE) * CAST(0.02 AS DOUBLE)) AS lat"
+_GC = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(v.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(v.lat)) * pow(sin(radians(v.lon - p.lon) / 2), 2))))"
+_ROUTES = f"""{_ALL_PAIRS},
+p AS (SELECT c_custkey AS req, 0 AS side, {_POINT.format(k="c_custkey")} FROM customer UNION ALL SELECT c_custkey, 1, {_POINT.format(k="(c_custkey + 1)")} FROM customer),
+v AS (SELECT s_suppkey AS vid, {_POINT.format(k="(s_suppkey * 7919 + 4001)")} FROM supplier),
+m AS (SELECT req, side, arg_min(vid, {{'m': {_GC}, 'v': vid}}) AS vid, min({_GC}) AS metres FROM p, v WHERE req % 50 <> 0 GROUP BY 1, 2),
+q AS (SELECT c_custkey AS req, a.vid AS start, z.vid AS finish, a.metres AS ma, z.metres AS mz FROM customer LEFT JOIN m a ON a.req = c_custkey AND a.side = 0 LEFT JOIN m z ON z.req = c_custkey AND z.side = 1),
+w AS (SELECT q.*, d.d FROM q LEFT JOIN d7 d ON d.s = q.start AND d.t = q.finish),
+o AS (SELECT *, CASE WHEN start IS NULL THEN 'bad-coordinate' WHEN ma > 300 OR mz > 300 THEN 'unreachable' WHEN start = finish THEN 'same-place' WHEN d IS NULL THEN 'no-path' ELSE 'ok' END AS status,
+  CASE WHEN ma > 300 THEN 'start' WHEN mz > 300 THEN 'end' END AS which FROM w)"""
 ORACLES = {
+    "component_ranks": f"{_COMPONENTS} SELECT component, count(*) AS nodes FROM c GROUP BY 1",
+    "shortest_path": f"{_ALL_PAIRS}, f AS (SELECT t AS node, d AS dist FROM d7 WHERE s = 1) SELECT f.node AS s_suppkey, round(f.dist, 6) AS dist, (SELECT min(b.src) FROM b JOIN f g ON g.node = b.src WHERE b.dst = f.node AND abs(g.dist + b.w - f.dist) <= 1e-9 AND f.dist > 0) AS parent FROM f",
+    "expanded_distance": f"{_ALL_PAIRS}, i AS (SELECT s, t, d FROM d7 WHERE s IN (1, 2, 3) AND d <= 6), x AS (SELECT i.s, b.dst AS t, i.d + b.w AS d FROM i JOIN b ON b.src = i.t UNION ALL SELECT s, t, d FROM i) SELECT s AS source, t AS s_suppkey, round(min(d), 6) AS dist FROM x GROUP BY 1, 2",
+    "route": f"""{_ROUTES} SELECT req, status, which, start, finish, CASE WHEN status = 'ok' THEN CAST(floor(d * 3.28084 + 0.5) AS BIGINT) END AS feet,
+CASE WHEN status = 'ok' AND ma * 3.28084 >= 12 THEN round(ma * 3.28084, 2) END AS from_feet, CASE WHEN status = 'ok' AND mz * 3.28084 >= 12 THEN round(mz * 3.28084, 2) END AS to_feet FROM o""",
+    "route_status": f"""{_ROUTES}, st AS (SELECT unnest(['ok', 'bad-coordinate', 'no-path', 'unreachable', 'same-place']) AS status, CAST(unnest([200, 400, 404, 422, 422]) AS INTEGER) AS code)
+SELECT st.status, code, count(o.req) AS walks FROM st LEFT JOIN o ON o.status = st.status GROUP BY 1, 2""",
+    "network_cuts": """WITH l AS (SELECT label_id, floor(lon / 0.02) AS i, floor(lat / 0.02) AS j, lon, lat FROM labels WHERE lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90 AND NOT (lon = 0 AND lat = 0)),
+a AS (SELECT label_id, i, j, round((lon - i * 0.02) * 87000, 3) AS x, round((lat - j * 0.02) * 111320, 3) AS y FROM l),
+s AS (SELECT label_id * 3 + k.k AS id, i, j, x + k.a AS x1, y + k.b AS y1, x + k.c AS x2, y + k.d AS y2 FROM a, (VALUES (0, -20.0, 0.0, 20.0, 0.0), (1, -9.0, -12.0, 11.0, 13.0), (2, -15.0, 1.0, 15.0, 1.0)) k(k, a, b, c, d)),
+p AS (SELECT p.id AS a, q.id AS b, (p.x2 - p.x1) * (q.y2 - q.y1) - (p.y2 - p.y1) * (q.x2 - q.x1) AS den, ((q.x1 - p.x1) * (q.y2 - q.y1) - (q.y1 - p.y1) * (q.x2 - q.x1)) AS tn, ((q.x1 - p.x1) * (p.y2 - p.y1) - (q.y1 - p.y1) * (p.x2 - p.x1)) AS un
+  FROM s p JOIN s q ON p.i = q.i AND p.j = q.j AND p.id < q.id),
+m AS (SELECT a, b, tn / den AS t, un / den AS u FROM p WHERE abs(den) >= 1e-12 AND tn / den BETWEEN 0 AND 1 AND un / den BETWEEN 0 AND 1),
+c AS (SELECT a AS id, round(t, 9) AS t FROM m UNION SELECT b, round(u, 9) FROM m), n AS (SELECT id, count(*) AS n FROM c WHERE t > 1e-9 AND t < 1 - 1e-9 GROUP BY id)
+SELECT s.id, 1 + coalesce(n, 0) AS pieces, round(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)), 3) AS metres FROM s LEFT JOIN n ON n.id = s.id""",
     "components": f"{_COMPONENTS} SELECT node AS s_suppkey, component FROM c",
     "largest_component": f"{_COMPONENTS} SELECT node AS s_suppkey FROM c WHERE component = (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)",
     "bounded_distance": f"WITH RECURSIVE {_EDGES}, r AS (SELECT s_suppkey AS source, s_suppkey AS node, CAST(0 AS DOUBLE) AS dist FROM supplier WHERE s_suppkey IN (1, 2, 3) UNION SELECT r.source, b.dst, r.dist + b.w FROM r JOIN b ON b.src = r.node WHERE r.dist + b.w <= 6.0) SELECT source, node AS s_suppkey, round(min(dist), 6) AS dist FROM r GROUP BY 1, 2",

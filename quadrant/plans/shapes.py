@@ -92,7 +92,19 @@ def roof_circles(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("roof_id", F.size(ring).alias("points"), F.round(geo.ring_area(ring), 3).alias("area"))
 
 
-QUERIES = {f.__name__: f for f in (outline_measures, outline_poles, outline_depth, clipped_ways, line_feet, regrouped, bay_spines, roof_circles)}
+FEET_A_TICK = 4.6 * 4 * 0.2
+
+
+def simulated_walks(spark: SparkSession, folder: str) -> DataFrame:
+    """Walks simulated along the crossing lines, a position each fifth of a second at four times walking speed, the last at the end: how many, and that they end there."""
+    tick = FEET_A_TICK / geo.FEET_PER_METRE
+    rows = _ways(spark, folder).withColumn("total", _length(F.col("line"))).withColumn("i", F.explode(F.sequence(F.lit(1), F.ceil(F.col("total") / tick).cast("int"))))
+    at = rows.select("boundary_id", "total", "i", F.element_at("line", -1).alias("end"), shapes.point_along(F.col("line"), F.least(F.col("i") * tick, F.col("total"))).alias("p"))
+    gap = geo.great_circle_m(F.col("p.lon"), F.col("p.lat"), F.col("end.lon"), F.col("end.lat"))
+    return at.groupBy("boundary_id").agg(F.count(F.lit(1)).alias("ticks"), (F.min_by(gap, -F.col("i")) < 0.01).alias("arrives"), F.round(F.max("total"), 2).alias("metres"))
+
+
+QUERIES = {f.__name__: f for f in (simulated_walks, outline_measures, outline_poles, outline_depth, clipped_ways, line_feet, regrouped, bay_spines, roof_circles)}
 
 _EDGES = """WITH o AS (SELECT boundary_id, rings[1] AS v, rings FROM campus_boundary WHERE len(rings) > 0 AND len(rings[1]) > 3),
 i AS (SELECT boundary_id, v, unnest(range(1, len(v))) AS i FROM o),
@@ -112,7 +124,19 @@ def _away(x: str, y: str) -> str:
     return f"sqrt(pow({ax} + {t} * ({bx} - {ax}), 2) + pow({ay} + {t} * ({by} - {ay}), 2))"
 
 
+_CORNERS = [(-0.13, 0.31), (0.47, 0.53), (0.61, 0.41), (1.17, 0.73)]
+
+
+def _step(i: int) -> str:
+    (a, b), (c, d) = _CORNERS[i], _CORNERS[i + 1]
+    x1, y1, x2, y2 = f"(w + {a} * (e - w))", f"(s + {b} * (n - s))", f"(w + {c} * (e - w))", f"(s + {d} * (n - s))"
+    return f"2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians({y2} - {y1}) / 2), 2) + cos(radians({y1})) * cos(radians({y2})) * pow(sin(radians({x2} - {x1}) / 2), 2))))"
+
+
 ORACLES = {
+    "simulated_walks": f"""WITH p AS (SELECT boundary_id, p.lon AS lon, p.lat AS lat FROM (SELECT boundary_id, unnest(rings[1]) AS p FROM campus_boundary WHERE len(rings) > 0 AND len(rings[1]) > 3)),
+b AS (SELECT boundary_id, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM p GROUP BY boundary_id), l AS (SELECT boundary_id, {_step(0)} + {_step(1)} + {_step(2)} AS m FROM b)
+SELECT boundary_id, CAST(ceil(m / ({FEET_A_TICK} / 3.28084)) AS BIGINT) AS ticks, true AS arrives, round(m, 2) AS metres FROM l""",
     "outline_measures": f"""{_EDGES}, {_CENTRES},
 p AS (SELECT boundary_id, p.lon AS lon, p.lat AS lat FROM (SELECT boundary_id, unnest(flatten(rings)) AS p FROM o)),
 x AS (SELECT boundary_id, (max(lon) - min(lon)) / 2 * 86900 AS hw, (max(lat) - min(lat)) / 2 * 111132 AS hh FROM p GROUP BY boundary_id),

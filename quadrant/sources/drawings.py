@@ -168,6 +168,11 @@ SHAPES = "file string, ordinal int, element string, fill string, stroke string,
 
 def read_drawings(spark: SparkSession, path: str) -> DataFrame:
     """Every drawn shape of the SVG files at a path."""
+    return parse_drawings(spark.read.text(path, wholetext=True).selectExpr("_metadata.file_path as file", "value"))
+
+
+def parse_drawings(files: DataFrame) -> DataFrame:
+    """Every drawn shape of SVG texts (file, value)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,8 +184,7 @@ def read_drawings(spark: SparkSession, path: str) -> DataFrame:
                     arrays = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.string()) for c in columns[2:6]), pa.array(columns[7], pa.bool_()), points]
                     yield pa.RecordBatch.from_arrays(arrays, names=[p.split()[0] for p in SHAPES.split(", ")])
 
-    files = spark.read.text(path, wholetext=True).selectExpr("_metadata.file_path as file", "value")
-    return files.mapInArrow(run, SHAPES)
+    return files.select("file", "value").mapInArrow(run, SHAPES)
 
 
 def mesh_positions(data: bytes) -> Iterator[np.ndarray]:
