@@ -19,7 +19,7 @@ def drawn_outlines(spark: SparkSession, folder: str) -> DataFrame:
     found = drawings.parse_drawings(rows.select(F.col("boundary_id").cast("string").alias("file"), svg.alias("value")))
     ring = F.transform("points", lambda p: F.struct(p["x"].alias("lon"), p["y"].alias("lat")))
     measured = found.select(F.col("file").cast("long").alias("boundary_id"), "element", "layer", F.size("points").alias("n"), F.abs(geo.ring_area(ring)).alias("a"))
-    return measured.groupBy("boundary_id", "element", "layer").agg(F.count(F.lit(1)).alias("shapes"), F.sum("n").cast("long").alias("points"), F.round(F.sum("a"), 1).alias("area"))
+    return measured.groupBy("boundary_id", "element", "layer").agg(F.count(F.lit(1)).alias("shapes"), F.sum("n").cast("long").alias("points"), F.round(F.sum("a"), 6).alias("area"))
 
 
 def feature_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,8 +84,8 @@ ORACLES = {
 f AS (SELECT boundary_id, r, i, 5 + 2 * CAST(printf('%.3f', (v[i].lon - floor(v[i].lon)) * 1000) AS DOUBLE) AS x, 7 + 2 * CAST(printf('%.3f', (v[i].lat - floor(v[i].lat)) * 1000) AS DOUBLE) AS y FROM p),
 n AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2, first_value(x) OVER w AS x0, first_value(y) OVER w AS y0 FROM f WINDOW w AS (PARTITION BY boundary_id, r ORDER BY i)),
 a AS (SELECT boundary_id, r, count(*) AS points, abs(sum((x - x0) * (y2 - y0) - (x2 - x0) * (y - y0))) / 2 AS area FROM n GROUP BY 1, 2)
-SELECT boundary_id, 'path' AS element, 'land' AS layer, count(*) AS shapes, CAST(sum(points) AS BIGINT) AS points, round(sum(area), 1) AS area FROM a GROUP BY 1
-UNION ALL SELECT boundary_id, 'rect', 'land', 1, 4, 48.0 FROM campus_boundary WHERE len(rings) > 0 UNION ALL SELECT boundary_id, 'circle', NULL, 1, 24, round(48 * sin(pi() / 12), 1) FROM campus_boundary WHERE len(rings) > 0""",
+SELECT boundary_id, 'path' AS element, 'land' AS layer, count(*) AS shapes, CAST(sum(points) AS BIGINT) AS points, round(sum(area), 6) AS area FROM a GROUP BY 1
+UNION ALL SELECT boundary_id, 'rect', 'land', 1, 4, 48.0 FROM campus_boundary WHERE len(rings) > 0 UNION ALL SELECT boundary_id, 'circle', NULL, 1, 24, round(48 * sin(pi() / 12), 6) FROM campus_boundary WHERE len(rings) > 0""",
     "feature_rows": "SELECT amenity_id, kind, label, CASE WHEN lat IS NOT NULL THEN lon END AS lon, CASE WHEN lon IS NOT NULL THEN lat END AS lat FROM amenities",
     "meetings_scrape": """WITH m AS (SELECT * FROM meetings WHERE course IS NOT NULL AND section IS NOT NULL AND room IS NOT NULL AND NOT regexp_matches(course, '[<:]') AND NOT regexp_matches(section, '[<:]') AND NOT regexp_matches(room, '[<:&]')),
 i AS (SELECT 'Course' AS label, trim(course, ' ') AS value FROM m UNION ALL SELECT 'Class', trim(section, ' ') FROM m UNION ALL SELECT 'Room', trim(room, ' ') FROM m)
