@@ -13,7 +13,7 @@ from quadrant.sources.tables import table
 def drawn_outlines(spark: SparkSession, folder: str) -> DataFrame:
     """Campus outlines drawn as SVG paths within a moved and doubled group, beside a box and a circle: elements, points and areas as read back."""
     rows = table(spark, folder, "campus_boundary", "boundary_id", "rings").filter("size(rings) > 0")
-    flat = lambda r: F.array_join(F.transform(r, lambda p: F.format_string("%.3f %.3f", (p["lon"] - F.floor(p["lon"])) * 1000, (p["lat"] - F.floor(p["lat"])) * 1000)), " L ")
+    flat = lambda r: F.array_join(F.transform(r, lambda p: F.concat_ws(" ", F.floor((p["lon"] - F.floor(p["lon"])) * 1000000) / 1000, F.floor((p["lat"] - F.floor(p["lat"])) * 1000000) / 1000)), " L ")
     path = F.array_join(F.transform("rings", lambda r: F.concat(F.lit("M "), flat(r), F.lit(" Z"))), " ")
     svg = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg"><defs><rect width="9" height="9"/></defs><g id="land" transform="translate(5 7) scale(2)"><path fill="#fff" d="'), path, F.lit('"/><rect x="1" y="2" width="3" height="4" stroke="red"/></g><circle cx="1" cy="1" r="2"/></svg>'))
     found = drawings.parse_drawings(rows.select(F.col("boundary_id").cast("string").alias("file"), svg.alias("value")))
@@ -81,7 +81,7 @@ QUERIES = {f.__name__: f for f in (drawn_outlines, feature_rows, meetings_scrape
 
 ORACLES = {
     "drawn_outlines": """WITH o AS (SELECT boundary_id, unnest(range(1, len(rings) + 1)) AS r, rings FROM campus_boundary WHERE len(rings) > 0), p AS (SELECT boundary_id, r, rings[r] AS v, unnest(range(1, len(rings[r]) + 1)) AS i FROM o),
-f AS (SELECT boundary_id, r, i, 5 + 2 * CAST(printf('%.3f', (v[i].lon - floor(v[i].lon)) * 1000) AS DOUBLE) AS x, 7 + 2 * CAST(printf('%.3f', (v[i].lat - floor(v[i].lat)) * 1000) AS DOUBLE) AS y FROM p),
+f AS (SELECT boundary_id, r, i, 5 + 2 * floor((v[i].lon - floor(v[i].lon)) * 1000000) / 1000 AS x, 7 + 2 * floor((v[i].lat - floor(v[i].lat)) * 1000000) / 1000 AS y FROM p),
 n AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2, first_value(x) OVER w AS x0, first_value(y) OVER w AS y0 FROM f WINDOW w AS (PARTITION BY boundary_id, r ORDER BY i)),
 a AS (SELECT boundary_id, r, count(*) AS points, abs(sum((x - x0) * (y2 - y0) - (x2 - x0) * (y - y0))) / 2 AS area FROM n GROUP BY 1, 2)
 SELECT boundary_id, 'path' AS element, 'land' AS layer, count(*) AS shapes, CAST(sum(points) AS BIGINT) AS points, round(sum(area), 6) AS area FROM a GROUP BY 1
