@@ -17,7 +17,7 @@ def _meetings(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_links(spark: SparkSession, folder: str) -> DataFrame:
     """Label-roof pairs with some evidence, with their confidence."""
-    labels = table(spark, folder, "labels").filter("kind is null or kind not in ('area', 'parking')")
+    labels = table(spark, folder, "labels", "label_id", "text", "lon", "lat", "area_m2")
     labels = labels.select(F.col("label_id").alias("id"), "text", "lon", "lat", F.col("area_m2").cast("double").alias("area"))
     roofs = table(spark, folder, "roofs")
     same = F.xxhash64("name", "area_m2", "cells", "roof_m", "ground_m", F.col("centre").cast("string"))
