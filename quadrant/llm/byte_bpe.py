@@ -2,7 +2,8 @@
 
 The texts of an Arrow batch are cut into words; the distinct words' bytes lie in one flat
 array, and every round merges, in all words at once, the adjacent pair of lowest rank. Ranks are
-found by binary search over the sorted keys of all mergeable pairs.
+found by binary search over the sorted keys of all mergeable pairs. A word of more than LONG_WORD bytes, for which such rounds would cost its
+length squared, is merged by a heap of its pairs instead, to the same ids.
 
 Defined results: an empty or null text gives an empty list, never null; blank text is encoded like any
 other; every row of the input gives one row, repeated texts included; other columns are ignored.
@@ -11,6 +12,7 @@ other; every row of the input gives one row, repeated texts included; other colu
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +29,8 @@ SPLITTER = regex.compile(WORD)
 
 BLOCK_CHARS = 2_000_000
 NO_RANK = np.int64(1) << 40
+#: Bytes from which a word is merged by a heap: rounds over all its symbols would cost its length squared.
+LONG_WORD = 256
 
 
 @lru_cache(maxsize=4)
@@ -63,8 +67,63 @@ def load_merges(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     return single, np.array(keys, np.int64)[order], np.array(made, np.int64)[order], size
 
 
+@lru_cache(maxsize=4)
+def _pair_ranks(keys: bytes, made: bytes) -> dict[int, int]:
+    return dict(zip(np.frombuffer(keys, np.int64).tolist(), np.frombuffer(made, np.int64).tolist(), strict=True))
+
+
+def encode_long(word: bytes, merges: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """Ids of one word by a heap of its pairs over a linked list of its symbols: the same merges, lowest rank first and leftmost of equals, in a time that grows
+    about in proportion to the word's length."""
+    single, keys, made, size = merges
+    ranks = _pair_ranks(keys.tobytes(), made.tobytes())
+    codes = single[np.frombuffer(word, np.uint8)]
+    pair = codes[:-1] * size + codes[1:]
+    at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+    known = np.flatnonzero(keys[at] == pair)
+    heap = ((made[at[known]] << 32) | known).tolist()
+    heapq.heapify(heap)
+    n = len(codes)
+    symbol, after, before = codes.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+    get, push, pop, low = ranks.get, heapq.heappush, heapq.heappop, (1 << 32) - 1
+    while heap:
+        item = pop(heap)
+        i, rank = item & low, item >> 32
+        j = after[i]
+        if symbol[i] < 0 or j >= n or get(symbol[i] * size + symbol[j]) != rank:
+            continue
+        symbol[i], symbol[j] = rank, -1
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            new = get(rank * size + symbol[k])
+            if new is not None:
+                push(heap, (new << 32) | i)
+        h = before[i]
+        if h >= 0:
+            new = get(symbol[h] * size + rank)
+            if new is not None:
+                push(heap, (new << 32) | h)
+    return np.array([c for c in symbol if c >= 0], np.int32)
+
+
 def encode_words(words: list[bytes], merges: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words in one array, and each word's number of ids."""
+    """Ids of all words in one array, and each word's number of ids; words of more than LONG_WORD bytes go one by one."""
+    long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+    if not long:
+        return _merge_rounds(words, merges)
+    apart = {i: encode_long(words[i], merges) for i in long}
+    ids, count = _merge_rounds([w if len(w) <= LONG_WORD else b"" for w in words], merges)
+    bounds, parts, start = np.cumsum(count), [], 0
+    for i in long:
+        parts += [ids[start : bounds[i]], apart[i]]
+        start = bounds[i]
+        count[i] = len(apart[i])
+    return np.concatenate([*parts, ids[start:]]), count
+
+
+def _merge_rounds(words: list[bytes], merges: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Merge rounds over the symbols of all words in one flat array: each round merges every word's lowest-ranked pairs."""
     single, keys, made, size = merges
     length = np.fromiter(map(len, words), np.int64, len(words))
     symbols = single[np.frombuffer(b"".join(words), np.uint8)]

@@ -44,3 +44,16 @@ def test_rows(spark):
     got = byte_bpe.encode_corpus(spark.createDataFrame(rows, "doc_id long, text string, ids string")).collect()
     assert sorted((r["doc_id"], list(r["ids"])) for r in got) == [(1, ORACLE.encode_ordinary("one two"))] * 2 + [(2, []), (3, [])]
     assert byte_bpe.encode_corpus(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_words_take_the_same_ids_in_little_time():
+    import random
+    import time
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (255, 256, 257, 5_000)] + ["aaab" * 3_000, "x" * 4_001, "ab " + "é漢" * 900 + " short words between", "base64/" * 700]
+    assert encode(texts) == [ORACLE.encode(t) for t in texts]
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    began = time.process_time()
+    (ids,) = encode([long])
+    assert time.process_time() - began < 3 and b"".join(ORACLE.decode_single_token_bytes(i) for i in ids) == long.encode()
