@@ -67,16 +67,10 @@ def load_merges(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     return single, np.array(keys, np.int64)[order], np.array(made, np.int64)[order], size
 
 
-@lru_cache(maxsize=4)
-def _pair_ranks(keys: bytes, made: bytes) -> dict[int, int]:
-    return dict(zip(np.frombuffer(keys, np.int64).tolist(), np.frombuffer(made, np.int64).tolist(), strict=True))
-
-
-def encode_long(word: bytes, merges: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> np.ndarray:
+def encode_long(word: bytes, merges: tuple[np.ndarray, np.ndarray, np.ndarray, int], ranks: dict[int, int]) -> np.ndarray:
     """Ids of one word by a heap of its pairs over a linked list of its symbols: the same merges, lowest rank first and leftmost of equals, in a time that grows
-    about in proportion to the word's length."""
+    about in proportion to the word's length. ``ranks`` holds what each mergeable pair becomes."""
     single, keys, made, size = merges
-    ranks = _pair_ranks(keys.tobytes(), made.tobytes())
     codes = single[np.frombuffer(word, np.uint8)]
     pair = codes[:-1] * size + codes[1:]
     at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
@@ -112,7 +106,8 @@ def encode_words(words: list[bytes], merges: tuple[np.ndarray, np.ndarray, np.nd
     long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
     if not long:
         return _merge_rounds(words, merges)
-    apart = {i: encode_long(words[i], merges) for i in long}
+    ranks = dict(zip(merges[1].tolist(), merges[2].tolist(), strict=True))
+    apart = {i: encode_long(words[i], merges, ranks) for i in long}
     ids, count = _merge_rounds([w if len(w) <= LONG_WORD else b"" for w in words], merges)
     bounds, parts, start = np.cumsum(count), [], 0
     for i in long:
