@@ -30,9 +30,9 @@ from quadrant.operators.vantage_tree import VantageTree
 from quadrant.sources.tables import slots
 
 CELL_POINTS = 20_000
-#: Bounds of what is gathered on the driver and broadcast: pivots, and the sample they and the cells' sizes come from.
+#: Bounds of what is gathered on the driver and broadcast: pivots, and the sample they and the cells' sizes come from (SAMPLE_EACH a pivot, within bounds).
 MAX_PIVOTS = 32_768
-SAMPLE = 262_144
+LEAST_SAMPLE, SAMPLE, SAMPLE_EACH = 32_768, 262_144, 8
 #: Metres added to replication bounds; covers the rounding of distances to pivots.
 SLACK_M = 1.0
 ROUTED = "cell long, role int, source int, id long, lon double, lat double, rings array<array<struct<lon:double,lat:double>>>"
@@ -113,7 +113,7 @@ def plan_layout(points: DataFrame, queries: set[int], targets: set[int], cell_po
     """Pivots and block grids from one counting pass and a sample of at most about SAMPLE rows; pivots of one source only if it is named."""
     counts = {r["source"]: r["n"] for r in points.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
-    share = max(1, math.ceil(total / SAMPLE))
+    share = max(1, math.ceil(total / min(SAMPLE, max(LEAST_SAMPLE, SAMPLE_EACH * total // cell_points))))
     sample = points.filter(F.pmod(F.xxhash64("source", "id"), F.lit(share)) == 0).select("source", "id", "lon", "lat").toPandas().sort_values(["source", "id"])
     lon, lat = np.radians(sample["lon"].to_numpy(float)), np.radians(sample["lat"].to_numpy(float))
     own = sample["source"].to_numpy() == pivots_from if pivots_from is not None else np.ones(len(lon), bool)
