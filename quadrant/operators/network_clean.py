@@ -59,6 +59,7 @@ class Site:
         self.y: list[float] = []
         self.cells: dict[tuple[int, int], list[int]] = defaultdict(list)
         self.edges: dict[tuple[int, int], float] = {}
+        self.near: dict[int, set[int]] = defaultdict(set)
 
     def _cell(self, x: float, y: float) -> tuple[int, int]:
         return math.floor(x / self.tolerance), math.floor(y / self.tolerance)
@@ -79,6 +80,14 @@ class Site:
         if a != b:
             key = (min(a, b), max(a, b))
             self.edges[key] = max(self.edges.get(key, width), width)
+            self.near[a].add(b)
+            self.near[b].add(a)
+
+    def drop(self, edge: tuple[int, int]) -> float:
+        """Takes an edge out; its width."""
+        self.near[edge[0]].discard(edge[1])
+        self.near[edge[1]].discard(edge[0])
+        return self.edges.pop(edge)
 
     def foot(self, n: int, edge: tuple[int, int]) -> tuple[float, float, float]:
         """(distance, x, y) of the nearest point of an edge to a node."""
@@ -128,7 +137,7 @@ class Site:
         self.y.append(py)
         middle = len(self.x) - 1
         self.cells[self._cell(px, py)].append(middle)
-        del self.edges[edge]
+        self.drop(edge)
         for k in (*edge, n):
             self.join(k, middle, width)
             self._enter(index, (min(k, middle), max(k, middle)))
@@ -231,7 +240,7 @@ def neighbours(site: Site) -> dict[int, list[int]]:
 
 def distances_from(site: Site, start: int, cap: float) -> dict[int, float]:
     """Lengths of shortest ways; nodes beyond the cap are not gone on from, but keep the length at which they were reached."""
-    near, found, heap = neighbours(site), {start: 0.0}, [(0.0, start)]
+    near, found, heap = site.near, {start: 0.0}, [(0.0, start)]
     while heap:
         d, n = heapq.heappop(heap)
         if d > found[n] or d > cap:
@@ -249,14 +258,13 @@ def unite(site: Site, a: int, b: int, wide_a: float = 1.0, wide_b: float = 1.0)
     share = 0.5 if abs(wide_a - wide_b) <= 0.1 * max(wide_a, wide_b) else 0.0 if wide_a > wide_b else 1.0
     site.x[a] += share * (site.x[b] - site.x[a])
     site.y[a] += share * (site.y[b] - site.y[a])
-    for edge in [e for e in site.edges if b in e]:
-        width = site.edges.pop(edge)
-        site.join(a, edge[0] if edge[1] == b else edge[1], width)
+    for m in sorted(site.near[b]):
+        site.join(a, m, site.drop((min(b, m), max(b, m))))
 
 
 def _meet(site: Site, n: int, edge: tuple[int, int], wide: float) -> bool:
     """Brings a node onto an edge: onto its end if that is within the tolerance, else onto the foot, which splits the edge."""
-    if edge not in site.edges or n in edge or not any(n in e for e in site.edges):
+    if edge not in site.edges or n in edge or not site.near[n]:
         return False
     width = site.edges[edge]
     _, px, py = site.foot(n, edge)
@@ -264,7 +272,7 @@ def _meet(site: Site, n: int, edge: tuple[int, int], wide: float) -> bool:
         if math.hypot(site.x[end] - px, site.y[end] - py) < site.tolerance:
             unite(site, n, end, wide, width)
             return True
-    del site.edges[edge]
+    site.drop(edge)
     site.x.append(px)
     site.y.append(py)
     middle = len(site.x) - 1
@@ -331,7 +339,7 @@ def attach_point(site: Site, x: float, y: float, reach: float) -> int:
     found = min(((*site.foot(n, e), e) for e in site.edges), default=None)
     if found is None or found[0] > reach:
         return n
-    width = site.edges.pop(found[3])
+    width = site.drop(found[3])
     site.x[n], site.y[n] = found[1], found[2]
     for end in found[3]:
         site.join(end, n, width)
@@ -370,7 +378,7 @@ def gates(site: Site, own: set[int], ways: dict[tuple[int, int], str], reach: fl
         target = next((k for k in edge if math.hypot(site.x[k] - px, site.y[k] - py) < site.tolerance), None)
         if target is None:
             target = site.node(px, py)
-            width, origin = site.edges.pop(edge), ways.pop(edge)
+            width, origin = site.drop(edge), ways.pop(edge)
             for end in edge:
                 if end != target:
                     site.join(end, target, width)
@@ -419,7 +427,8 @@ def largest_part(site: Site) -> None:
         left |= part
         if len(part) > len(best):
             best = part
-    site.edges = {e: w for e, w in site.edges.items() if e[0] in best}
+    for edge in [e for e in site.edges if e[0] not in best]:
+        site.drop(edge)
 
 
 NETWORK = "from_node long, to_node long, x1 double, y1 double, x2 double, y2 double, width double"
