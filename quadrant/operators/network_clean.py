@@ -20,10 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrant.functions import geo
+from quadrant.sources.tables import slots
 
 MAX_SITE_POINTS = 500_000
 
 
+def by_task(frame: DataFrame, key: str) -> DataFrame:
+    """Rows spread by key over all slots: sites are few bytes but much work, so they must not be put together by size."""
+    return frame.repartition(4 * slots(frame.sparkSession), key)
+
+
 def _cells(x1: str, y1: str, x2: str, y2: str, size: float) -> F.Column:
     """Grid cells that a segment's box touches."""
     span = lambda a, b: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
@@ -448,7 +454,7 @@ def build_network(pieces: DataFrame, weld_m: float = 2.0, tee_m: float = 3.0, wh
             largest_part(site)
         return pd.DataFrame([(key[0], *e) for e in emitted(site)], columns=["site", "from_node", "to_node", "x1", "y1", "x2", "y2", "width"])
 
-    return pieces.groupBy("site").applyInPandas(run, f"site {kind}, {NETWORK}")
+    return by_task(pieces, "site").groupBy("site").applyInPandas(run, f"site {kind}, {NETWORK}")
 
 
 def kept_strokes(strokes: DataFrame) -> DataFrame:
@@ -460,7 +466,7 @@ def kept_strokes(strokes: DataFrame) -> DataFrame:
         lines = [(int(r), np.array([(p["x"], p["y"]) for p in pts], float)) for r, pts in zip(rows["rank"], rows["points"], strict=True)]
         return pd.DataFrame({"site": key[0], "id": rows["id"].to_numpy()[sorted(without_repeats(lines))]})
 
-    return strokes.filter("size(points) > 1").groupBy("site").applyInPandas(run, f"site {kind}, id long")
+    return by_task(strokes.filter("size(points) > 1"), "site").groupBy("site").applyInPandas(run, f"site {kind}, id long")
 
 
 def greedy_spacing(frame: DataFrame, group: str, order: str, x: str, y: str, apart: float) -> DataFrame:
@@ -480,4 +486,4 @@ def greedy_spacing(frame: DataFrame, group: str, order: str, x: str, y: str, apa
                 taken.append((key[0], o))
         return pd.DataFrame(taken, columns=[group, order])
 
-    return frame.select(group, order, x, y).groupBy(group).applyInPandas(run, f"{group} {kind}, {order} long")
+    return by_task(frame.select(group, order, x, y), group).groupBy(group).applyInPandas(run, f"{group} {kind}, {order} long")
