@@ -29,7 +29,7 @@ MAX_EDITS = 2
 PREFIX = 8
 NONE = -1
 #: The reference list must stay small enough to send to every executor.
-MAX_ENTRIES = 200_000
+MAX_ENTRIES = 20_000
 #: Distinct values whose answers a task remembers.
 REMEMBERED = 500_000
 
@@ -436,17 +436,21 @@ def match_values(frame: DataFrame, id_column: str, value_column: str, reference:
     key, name, official = keys
     listed = reference.select(reference[key].cast("long").alias("k"), reference[name].alias("n"), reference[official].alias("o")).filter("n is not null")
     if listed.limit(MAX_ENTRIES + 1).count() > MAX_ENTRIES:
-        raise ValueError("the reference list is too large to send to every executor")
+        raise ValueError(f"the reference list has more than {MAX_ENTRIES} entries, too many to send to every executor")
     rows = listed.collect()
     spark = frame.sparkSession
     values = frame.select(frame[id_column].cast("long").alias("row_id"), frame[value_column].alias("value"))
     exact = values.join(F.broadcast(listed.select(F.col("n").alias("value"))), "value").groupBy("value").agg(F.count(F.lit(1)).alias("often"))
     often = {r["value"]: r["often"] for r in exact.collect()}
-    sent = spark.sparkContext.broadcast([(r["k"], r["n"], r["o"], often.get(r["n"], 0)) for r in rows])
+    sent = spark.sparkContext.broadcast({"rows": [(r["k"], r["n"], r["o"], often.get(r["n"], 0)) for r in rows]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Reference(sent.value)
-        answers: dict[str, int | None] = {n: None for _, n, _, _ in sent.value}
+        # A worker keeps the broadcast value between tasks, and so the dictionary.
+        held = sent.value
+        if "index" not in held:
+            held["index"] = Reference(held["rows"])
+        index = held["index"]
+        answers: dict[str, int | None] = {n: None for _, n, _, _ in held["rows"]}
         by_letters: dict[str, int] = {}
         for batch in batches:
             coded = batch.column(1).dictionary_encode()
@@ -454,7 +458,7 @@ def match_values(frame: DataFrame, id_column: str, value_column: str, reference:
             for value in coded.dictionary.to_pylist():
                 if value not in answers:
                     if len(answers) > REMEMBERED:
-                        answers = {n: None for _, n, _, _ in sent.value}
+                        answers = {n: None for _, n, _, _ in held["rows"]}
                         by_letters = {}
                     # Values that differ in case and outer white space only are resolved once.
                     form = value if CAMEL.search(value) else value.lower()
