@@ -18,7 +18,7 @@ def test_rounding_and_labels(spark):
     assert one(spark, units.walk_label(F.lit(84.0 * 61))) == "1 hr 1 min"
 
 
-@pytest.mark.parametrize(("degrees", "kind"), [(0, "straight"), (19.9, "straight"), (20, "slight-right"), (-45, "slight-left"), (60, "right"), (-90, "left"), (150, "right"), (179, "uturn")])
+@pytest.mark.parametrize(("degrees", "kind"), [(0, "straight"), (19.9, "straight"), (20, "slight-right"), (-45, "slight-left"), (60, "slight-right"), (60.5, "right"), (-90, "left"), (150, "right"), (179, "uturn")])
 def test_turns(spark, degrees, kind):
     assert one(spark, units.turn_kind(F.lit(float(degrees)))) == kind
 
