@@ -1,9 +1,7 @@
-"""Parquet table access and the two ways this package cuts lineage."""
+"""Parquet table access, and how this package cuts lineage."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +18,9 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
         import tempfile
+        import warnings
 
+        warnings.warn("spark.checkpoint.dir is not set: checkpoints go to a folder of this machine, which is for tests only", stacklevel=2)
         folder = tempfile.mkdtemp(prefix="quadrant-")
         sc.setCheckpointDir(folder)
     return folder
@@ -34,18 +34,7 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def written(frame: DataFrame) -> DataFrame:
-    """``frame`` written as Parquet into the shared folder and read back (columnar, so smaller than a checkpoint)."""
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def slots(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the unit in which CPU-heavy Python stages are split."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
-
-def as_long(column: str) -> F.Column:
-    return F.col(column).cast("long")
