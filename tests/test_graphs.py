@@ -105,3 +105,22 @@ def test_turn_boundaries():
     import numpy as np
 
     assert routing.turn_names(np.array([19.9, 20.0, -60.0, 60.1, 150.0, 150.1, -150.0])) == ["straight", "slight-right", "slight-left", "right", "right", "uturn", "left"]
+
+
+@pytest.fixture(scope="module")
+def walks(spark):
+    """A grid with gaps and many equally long ways, nodes without an edge, and requests between all kinds of places."""
+    rng = random.Random(9)
+    at = {i: (0.001 * (i % 9) + rng.uniform(0, 4e-4), 0.001 * (i // 9) + rng.uniform(0, 4e-4)) for i in range(180)}
+    edges = [(i, i + 1, 1.0 + i % 3) for i in range(180) if i % 9 < 8 and i % 7 != 3] + [(i, i + 9, 1.5 + i % 2) for i in range(171) if i % 4 != 1 and i // 9 != 9]
+    asked = [(k, *at[rng.randrange(180)], *at[rng.randrange(180)]) for k in range(400)] + [(900, None, 0.0, 0.0, 0.0), (901, 5.0, 5.0, 0.0, 0.0)]
+    frames = [(asked, "req long, from_lon double, from_lat double, to_lon double, to_lat double"), ([(i, *p) for i, p in at.items()], "vid long, lon double, lat double"), (edges, "src long, dst long, w double")]
+    frames = [spark.createDataFrame(*f).cache() for f in frames]
+    return frames, routing.route(*frames).collect()
+
+
+def test_statuses_need_no_search(spark, walks, monkeypatch):
+    frames, told = walks
+    monkeypatch.setattr(graphs.Adjacency, "paths", None)
+    assert {tuple(r) for r in routing.route_statuses(*frames).collect()} == {(r["req"], r["status"], r["which"]) for r in told}
+    assert len({r["status"] for r in told}) == 5
