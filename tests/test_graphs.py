@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from quadrant.operators import graphs, routing
+from quadrant.operators import graphs, routing, swept_paths
 
 
 @pytest.mark.parametrize("local_edges", [0, 1_000_000])
@@ -124,3 +124,12 @@ def test_statuses_need_no_search(spark, walks, monkeypatch):
     monkeypatch.setattr(graphs.Adjacency, "paths", None)
     assert {tuple(r) for r in routing.route_statuses(*frames).collect()} == {(r["req"], r["status"], r["which"]) for r in told}
     assert len({r["status"] for r in told}) == 5
+
+
+@pytest.mark.parametrize("swept", [True, False])
+def test_lengths_are_those_of_the_paths(spark, walks, swept, monkeypatch):
+    frames, told = walks
+    if not swept:
+        monkeypatch.setattr(swept_paths, "MOST_NEAR", 0)
+    columns = ["req", "status", "which", "start", "finish", "feet", "from_feet", "to_feet"]
+    assert {tuple(r) for r in routing.route_lengths(*frames).select(columns).collect()} == {tuple(r[c] for c in columns) for r in told}
