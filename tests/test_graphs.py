@@ -133,3 +133,15 @@ def test_lengths_are_those_of_the_paths(spark, walks, swept, monkeypatch):
         monkeypatch.setattr(swept_paths, "MOST_NEAR", 0)
     columns = ["req", "status", "which", "start", "finish", "feet", "from_feet", "to_feet"]
     assert {tuple(r) for r in routing.route_lengths(*frames).select(columns).collect()} == {tuple(r[c] for c in columns) for r in told}
+
+
+@pytest.mark.parametrize("swept", [True, False])
+def test_turns_counted_while_walking_are_those_of_the_paths(spark, walks, swept, monkeypatch):
+    frames, told = walks
+    if not swept:
+        monkeypatch.setattr(swept_paths, "MOST_NEAR", 0)
+    want = {}
+    for m in (m for r in told if r["status"] == "ok" for m in r["maneuvers"]):
+        n, feet = want.get(m["type"], (0, 0))
+        want[m["type"]] = n + 1, feet + m["feet"]
+    assert {r["type"]: (r["turns"], r["feet"]) for r in routing.turn_totals(*frames).collect()} == want and len(want) == 6
