@@ -18,7 +18,7 @@ SCRIPTS = [(0x370, 0x3FF), (0x400, 0x52F), (0x590, 0x5FF), (0x600, 0x6FF), (0x90
 FIRST_SCRIPT = UNREADABLE + 1
 CLASSES = FIRST_SCRIPT + len(SCRIPTS)
 CLOSERS, COMMON_SIGNS, BULLETS = ".!?…。！？", ",;:'\"()-–—’‘“”«»¿¡„、/&", "-*•–—·▪◦‣➢►+"
-DELIMITERS = "\t|;,"
+MARKS = "\t|;,<=%"
 LAGS = 6
 NAMES = [
     "log_chars", "letters", "digits", "closers", "signs", "unreadable", "capitals", "script", "mixed_script", "accented", "plain_words", "short_words", "token_length", "longest_token", "letter_digit_tokens", "number_tokens", "capitalised",
@@ -84,10 +84,33 @@ def _make_tables() -> tuple[np.ndarray, np.ndarray]:
     return kind, letter
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2 ** 64; made once a task."""
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        _POWERS[base] = np.cumprod(np.full(n, base, np.uint64))
+    return _POWERS[base][:n]
+
+
 def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a / np.maximum(b, 1)
 
 
+def letter_fits(size: np.ndarray, pairs: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """Mean log odds of each piece's letter pairs; ``size`` has their numbers, ``pairs`` all of them as letter * 27 + next letter."""
+    fits, some = np.zeros(len(size)), np.flatnonzero(size)
+    if len(some):
+        fits[some] = np.add.reduceat(odds.ravel()[pairs], (np.cumsum(size) - size)[some]) / size[some]
+    return fits
+
+
+def letter_columns(size: np.ndarray, pairs: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The statistics letter_fit and letter_pairs."""
+    return np.where(size >= 12, letter_fits(size, pairs, odds), 0.0), np.minimum(size, 40) / 40
+
+
 class Lines:
     """The pieces of many texts, their characters in one array."""
 
@@ -103,20 +126,33 @@ class Lines:
         self.size = size
         self.of = np.repeat(np.arange(self.n), size)
         kind, letter = tables()
-        low = np.minimum(self.codes, 0xFFFF)
+        low = np.minimum(self.codes, 0xFFFF).astype(np.intp)
         self.kind, self.letter = kind[low], letter[low]
-        self.chars = np.bincount(self.of, self.kind != SPACE, self.n)
+        self.chars = self.number(self.kind != SPACE)
         seen: dict[tuple[int, str], int] = {}
         key = [(t, p.strip().lower()) for t, p in zip(self.text.tolist(), held, strict=True)]
         for k in key:
             seen[k] = seen.get(k, 0) + 1
         self.copies = np.array([seen[k] for k in key], float)
 
+    def number(self, mask: np.ndarray) -> np.ndarray:
+        """How many of each piece's characters are in ``mask``."""
+        return np.add.reduceat(mask, self.start, dtype=np.int64) if self.n else np.zeros(0, np.int64)
+
+    def _marks(self) -> dict[str, np.ndarray]:
+        """How often each piece has each sign of MARKS."""
+        of_code = np.zeros(128, np.uint8)
+        of_code[[ord(c) for c in MARKS]] = np.arange(1, len(MARKS) + 1)
+        mark = of_code[np.where(self.codes < 128, self.codes, 0)]
+        at = np.flatnonzero(mark)
+        count = np.bincount(self.of[at] * (len(MARKS) + 1) + mark[at], minlength=self.n * (len(MARKS) + 1)).reshape(self.n, -1)
+        return {c: count[:, i + 1] for i, c in enumerate(MARKS)}
+
     def letter_pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(piece, letter, next letter) of all neighbouring characters of which one is a letter; what is none is 0."""
-        a, b = self.letter[:-1], self.letter[1:]
+        """(piece, letter, next letter) of all neighbouring characters of which one is a letter; what is none is 0, also before a piece."""
+        a, b = np.r_[np.uint8(0), self.letter[:-1]], self.letter
         use = (a > 0) | (b > 0)
-        return self.of[1:][use], a[use], b[use]
+        return self.of[use], a[use], b[use]
 
     def features(self, odds: np.ndarray | None) -> np.ndarray:
         """One row a piece, one column a name of NAMES; ``odds`` are the log odds of letter pairs, if they are known."""
@@ -125,28 +161,26 @@ class Lines:
             return np.zeros((0, len(NAMES)))
         count = np.bincount(of * CLASSES + kind, minlength=n * CLASSES).reshape(n, CLASSES).astype(float)
         dense = np.maximum(self.chars, 1)
-        number = lambda mask: np.bincount(of, mask, n)
+        number = self.number
         scripts = count[:, FIRST_SCRIPT:]
         latin = count[:, LOWER] + count[:, UPPER] + count[:, ACCENTED]
         letters = latin + scripts.sum(axis=1)
         # Tokens.
         black = kind != SPACE
         begins = black & ~np.r_[False, black[:-1]]
-        token = np.cumsum(begins)[black] - 1
-        home = of[begins]
+        heads, tails = np.flatnonzero(begins), np.flatnonzero(black & ~np.r_[black[1:], False])
+        home = of[heads]
         tokens = len(home)
-        size = np.bincount(token, minlength=tokens).astype(float)
-        own = kind[black]
-        is_letter = (own == LOWER) | (own == UPPER) | (own == ACCENTED) | (own >= FIRST_SCRIPT)
-        with_letters = np.bincount(token, is_letter, tokens)
-        with_digits = np.bincount(token, own == DIGIT, tokens)
+        size = (tails - heads + 1).astype(float)
+        is_letter = (kind == LOWER) | (kind == UPPER) | (kind == ACCENTED) | (kind >= FIRST_SCRIPT)
+        with_letters, with_digits = (np.diff(np.r_[0, np.cumsum(own, dtype=np.int64)][np.stack([heads, tails + 1])], axis=0)[0].astype(float) for own in (is_letter, kind == DIGIT))
         others = size - with_letters - with_digits
         plain = (with_letters > 0) & (with_digits == 0) & (others <= 1)
         per = np.bincount(home, minlength=n).astype(float)
         by_piece = lambda values: np.bincount(home, values, n)
         words = by_piece(plain)
         short = by_piece(plain & (with_letters <= 3))
-        capital = by_piece(plain & (kind[begins] == UPPER))
+        capital = by_piece(plain & (kind[heads] == UPPER))
         longest = np.zeros(n)
         np.maximum.at(longest, home, size)
         mixed = by_piece((with_letters > 0) & (with_digits > 0))
@@ -162,19 +196,19 @@ class Lines:
         bullet = np.zeros(n)
         has = np.flatnonzero((first_token >= 0) & (per > 1) & self.first)
         at = first_token[has]
-        head = codes[np.flatnonzero(begins)[at]]
-        tail = codes[self._token_end(begins, black, at)]
+        head = codes[heads[at]]
+        tail = codes[tails[at]]
         sign = (size[at] == 1) & np.isin(head, [ord(c) for c in BULLETS])
         numbered = (size[at] <= 4) & np.isin(tail, [ord("."), ord(")"), ord("]")]) & (others[at] <= 2) & (with_letters[at] <= 1)
         box = (size[at] <= 3) & (head == ord("["))
         bullet[has] = sign | numbered | box
-        marks = {c: number(codes == ord(c)) for c in DELIMITERS}
+        marks = self._marks()
         # Gaps of two spaces and more, but for those after a sentence.
         opens = np.r_[False, black[:-1] & ~black[1:] & (kind[:-1] != CLOSING)]
         gap = number(opens & np.r_[~black[1:], False] & (codes == 32) & np.r_[codes[1:] == 32, False])
-        tight = number(np.isin(codes, [ord(","), ord(";")]) & np.r_[black[1:], False])
-        tags = number(codes == ord("<"))
-        dots = number(np.isin(codes, [ord("·"), ord("•"), ord("/")]) & ~np.r_[True, black[:-1]] & ~np.r_[black[1:], True])
+        tight = number(((codes == ord(",")) | (codes == ord(";"))) & np.r_[black[1:], False])
+        tags = marks["<"]
+        dots = number(((codes == ord("·")) | (codes == ord("•")) | (codes == ord("/"))) & ~np.r_[True, black[:-1]] & ~np.r_[black[1:], True])
         shape = np.stack([marks["\t"], marks["|"], marks[";"], marks[","], gap, tags])
         code = shape.argmax(axis=0) * 1000 + np.minimum(shape.max(axis=0), 999)
         code[shape.max(axis=0) == 0] = -1
@@ -182,29 +216,27 @@ class Lines:
         alike = np.r_[False, same].astype(float) + np.r_[same, False]
         equal = np.zeros(n)
         for lag in range(1, LAGS + 1):
-            hit = (codes[lag:] == codes[:-lag]) & (of[lag:] == of[:-lag])
-            equal = np.maximum(equal, np.bincount(of[lag:], hit, n) / np.maximum(self.size - 1 - lag, 8))
-        weight = np.random.default_rng(5).integers(1, 1 << 40, 64)
-        place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size.astype(int)).astype(int)
-        hashed = np.bincount(token, (codes[black].astype(np.float64) * weight[place % 64]) % 1_000_003, tokens).astype(np.int64)
-        kinds = np.bincount(np.unique(home * (1 << 36) + hashed % (1 << 36)) >> 36, minlength=n)
+            hit = np.r_[np.zeros(lag, bool), codes[lag:] == codes[:-lag]]
+            for j in range(lag):
+                hit[np.minimum(self.start + j, len(hit) - 1)] = False
+            equal = np.maximum(equal, number(hit[: len(codes)]) / np.maximum(self.size - 1 - lag, 8))
+        # Tokens by the value of a polynomial in an odd number, modulo 2 ** 64: differences of running sums, moved to the same power.
+        odd = 0x9E3779B97F4A7C15
+        power, back = _powers(odd, len(codes)), _powers(pow(odd, -1, 1 << 64), len(codes))
+        summed = np.r_[np.uint64(0), np.cumsum(codes * power)]
+        hashed = (summed[tails + 1] - summed[heads]) * back[heads] * np.uint64(0xBF58476D1CE4E5B9)
+        key = np.sort((home.astype(np.uint64) << np.uint64(36)) | (hashed >> np.uint64(28)))
+        kinds = np.bincount((key[np.r_[True, key[1:] != key[:-1]]] >> np.uint64(36)).astype(np.int64), minlength=n)
         fit, pairs = np.zeros(n), np.zeros(n)
         if odds is not None:
             piece, a, b = self.letter_pairs()
-            pairs = np.bincount(piece, minlength=n).astype(float)
-            fit = np.where(pairs >= 12, np.bincount(piece, odds[a, b], n) / np.maximum(pairs, 1), 0.0)
+            fit, pairs = letter_columns(np.bincount(piece, minlength=n), a.astype(np.int64) * 27 + b, odds)
         hexes = number((kind == DIGIT) | (((codes | 32) >= 97) & ((codes | 32) <= 102) & (codes < 128)))
         few = lambda x: np.minimum(x, 8) / 8
         columns = [
             np.log1p(dense), letters / dense, count[:, DIGIT] / dense, count[:, CLOSING] / dense, count[:, SIGN] / dense, count[:, UNREADABLE] / dense, _share(count[:, UPPER], count[:, UPPER] + count[:, LOWER]),
             scripts.max(axis=1) / dense, (scripts.sum(axis=1) - scripts.max(axis=1)) / dense, count[:, ACCENTED] / dense, _share(words, per), _share(short, words), np.log1p(_share(self.chars, per)), np.log1p(longest), _share(mixed, per), _share(numbers, per),
-            _share(capital, words), ends.astype(float), np.minimum(_share(inner, per) * 8, 1), bullet, few(marks["\t"]), few(marks["|"]), few(marks[";"]), few(marks[","]), few(gap), few(tags), few(number(codes == ord("="))), few(dots), few(tight), alike,
-            (~self.first).astype(float), np.log1p(np.minimum(self.copies, 50) - 1), equal, _share(kinds, per), fit, np.minimum(pairs, 40) / 40, hexes / dense, number(codes == ord("%")) / dense,
+            _share(capital, words), ends.astype(float), np.minimum(_share(inner, per) * 8, 1), bullet, few(marks["\t"]), few(marks["|"]), few(marks[";"]), few(marks[","]), few(gap), few(tags), few(marks["="]), few(dots), few(tight), alike,
+            (~self.first).astype(float), np.log1p(np.minimum(self.copies, 50) - 1), equal, _share(kinds, per), fit, pairs, hexes / dense, marks["%"] / dense,
         ]
         return np.stack(columns, axis=1)
-
-    @staticmethod
-    def _token_end(begins: np.ndarray, black: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Place of the last character of some tokens."""
-        ends = np.flatnonzero(black & ~np.r_[black[1:], False])
-        return ends[at]

@@ -1,12 +1,13 @@
 """What a document consists of, line by line: prose, list, table or junk; and per-document text statistics.
 
 A hidden Markov model labels the lines. Its states are the four kinds; what a line shows is the nearest entry of a codebook over the line's statistics
-(line_features). Codebook, emission and transition probabilities are fitted here, on a bounded sample of the corpus: the codebook by k-means, the
-probabilities by Baum-Welch from a first guess that only tells clear lines (FIRST_GUESS). How letters follow one another in readable text is learnt from the
-sample too. Viterbi's path then labels every line of every whole document, and shares are counted by characters.
+(line_features). Codebook, emission and transition probabilities are fitted here, on every line of every whole document: the codebook by k-means, the
+probabilities by Baum-Welch from a first guess that only tells clear lines (first_guess). How letters follow one another in readable text is learnt from all
+lines too. Viterbi's path then labels every line, and shares are counted by characters.
 
-The sample holds at most about SAMPLE_DOCUMENTS documents, picked by a hash of the id, with SAMPLE_CHARS characters of each; everything else runs over all documents and
-whole texts. Fitting repeats exactly: no random start, and the same rows give the same model.
+Statistics are worked out once and kept on the executors' disks, packed, as whole multiples of 1 / GRAIN; each round of a fit is a pass over them whose sums the driver gets, a
+fixed number of figures a task. Where k-means begins or an entry is split, a line is drawn by a hash among all. All sums are of whole numbers, so the same rows give the same model in whatever order and
+tasks they come.
 
 Defined results: null, empty and blank texts have no lines, hence null shares and no kind; a text without
 letters can be a table or junk, never prose of a letter script; repeated documents are labelled alike; an empty table gives no rows; columns beyond id and text are ignored.
@@ -14,27 +15,33 @@ letters can be a table or junk, never prose of a letter script; repeated documen
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrant.llm.line_features import NAMES, Lines
+from quadrant.llm.line_features import NAMES, Lines, letter_columns, letter_fits
+from quadrant.sources.tables import cut
 
-#: Bounds of the sample that the model is fitted on.
-SAMPLE_DOCUMENTS = 6_000
-SAMPLE_CHARS = 2_000
-#: The codebook begins with CODES lines and takes in the MORE worst described ones in each of ROUNDS rounds.
+#: Characters of a text that fitting reads: all.
+SAMPLE_CHARS = None
+#: The codebook begins with CODES lines and takes in one of each of the MORE entries that describe theirs worst, in each of ROUNDS rounds.
 CODES, MORE, ROUNDS, FITS, PRIOR, LEAN = 320, 48, 7, 8, 4.0, 1.0
 #: Statistics that count for more than the others in the distance to a line of the codebook.
 EMPHASIS = {"new_tokens": 2.5, "repeats": 2.0, "bars": 2.0}
 #: A document is of a kind if more than this share of its characters is not prose.
 NOT_PROSE = 0.75
-#: Texts labelled at once.
-AT_ONCE = 4_000
+#: Texts and characters (but for a longer text) handled at once.
+AT_ONCE, CHARS_AT_ONCE = 4_000, 500_000
+#: Statistics are kept as multiples of 1 / GRAIN, probabilities are summed as multiples of 1 / FINE.
+GRAIN, FINE = 2_048, 2.0**30
+#: Tasks whose sums the driver adds up itself; those of more are added up by some tasks first.
+ADDED = 64
 
 KINDS = ["prose", "list", "table", "junk"]
 PROSE, LIST, TABLE, JUNK = range(4)
@@ -66,38 +73,150 @@ class LineModel:
 
     def codes(self, features: np.ndarray) -> np.ndarray:
         """The nearest entry of the codebook to each line."""
-        return _nearest((features - self.middle) / self.scale, self.codebook)
+        return _nearest(_scaled(_kept(features), self.middle, self.scale), self.codebook)
 
 
-def _nearest(rows: np.ndarray, book: np.ndarray) -> np.ndarray:
-    half = (book**2).sum(axis=1) / 2
-    parts = [(rows[i : i + 8192] @ book.T - half).argmax(axis=1) for i in range(0, len(rows), 8192)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+#: What a step finds in a chunk: arrays, which are added up but for those that _together names.
+Found = dict[str, np.ndarray]
+#: Runs a step over all chunks and adds up what it finds.
+Total = Callable[..., Found]
 
 
-def learn_letters(lines: Lines) -> np.ndarray:
-    """Log probability of each letter after another, over the lines of words; lines that fit far worse than the rest are left out, twice."""
-    piece, a, b = lines.letter_pairs()
+def _kept(features: np.ndarray) -> np.ndarray:
+    """Statistics as multiples of 1 / GRAIN, a row a statistic."""
+    return np.ascontiguousarray(np.clip(np.rint(features.T * GRAIN), -32_767, 32_767).astype(np.int16))
+
+
+def _scaled(kept: np.ndarray, middle: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(((kept / GRAIN - middle[:, None]) / scale[:, None]).T)
+
+
+def _nearest(rows: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """The nearest entry to each row, in single precision and exactly where that leaves doubt: what is looked up together makes no difference."""
+    code = np.zeros(len(rows), np.int64)
+    against = np.c_[book, -(book**2).sum(axis=1) / 2].astype(np.float32).T
+    wide = np.c_[rows, np.ones(len(rows))].astype(np.float32)
+    margin = (1e-3 + 2e-5 * (rows**2).sum(axis=1)).astype(np.float32)
+    for low in range(0, len(rows), 512):
+        score = wide[low : low + 512] @ against
+        every = np.arange(len(score))
+        best = score.argmax(axis=1)
+        code[low : low + 512] = best
+        least = score[every, best] - margin[low : low + 512]
+        score[every, best] = -np.inf
+        row = np.flatnonzero(score.max(axis=1) >= least)
+        if len(row):
+            score[row, best[row]] = np.inf
+            at, entry = np.nonzero(score[row] >= least[row, None])
+            away = ((rows[low + row[at]] - book[entry]) ** 2).sum(axis=1)
+            order = np.lexsort((entry, away, at))
+            first = order[np.r_[True, np.diff(at[order]) != 0]]
+            code[low + row] = entry[first]
+    return code
+
+
+def _hash(kept: np.ndarray, turn: int) -> np.ndarray:
+    """A number between 0 and 1 for each line, the same for the same statistics."""
+    h = np.full(kept.shape[1], 0x9E3779B97F4A7C15 * (2 * turn + 1) % (1 << 64), np.uint64)
+    for row in kept:
+        h = (h ^ row.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    return ((h >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+
+def _first(keys: np.ndarray, rows: np.ndarray, keep: int) -> np.ndarray:
+    """The ``keep`` distinct rows of the lowest keys, each behind its key; the same rows have the same key."""
+    some = np.flatnonzero(keys <= np.partition(keys, keep * 2)[keep * 2]) if len(keys) > keep * 2 else np.arange(len(keys))
+    found = np.unique(np.c_[keys[some], rows[some]], axis=0)[:keep]
+    if len(found) < keep and len(some) < len(keys):
+        found = np.unique(np.c_[keys, rows], axis=0)[:keep]
+    return found
+
+
+def _together(found: Iterable[Found]) -> Found:
+    """What steps found in several chunks; of ``seeds`` the first rows by key are kept, of ``drawn`` the one of the lower key in each place."""
+    total: Found = {}
+    for part in found:
+        for name, value in part.items():
+            if name not in total:
+                total[name] = value
+            elif name == "seeds":
+                both = np.concatenate([total[name], value])
+                total[name] = _first(both[:, 0], both[:, 1:], CODES)
+            elif name == "drawn":
+                total[name] = np.where(value[:, :1] < total[name][:, :1], value, total[name])
+            else:
+                total[name] = total[name] + value
+    return total
+
+
+def _pack(value: object) -> bytes:
+    raw = pickle.dumps(value, 5)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def _unpack(data: bytes) -> object:
+    return pickle.loads(pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True))
+
+
+def read_chunk(texts: list[str]) -> tuple[Found, Found]:
+    """Lines of texts and their letter pairs: what the fit needs of them, without the statistics that depend on how letters follow."""
+    lines = Lines(texts)
     plain = lines.features(None)
     name = NAMES.index
     use = (plain[:, name("letters")] > 0.8) & (plain[:, name("script")] < 0.1) & (plain[:, name("plain_words")] > 0.7) & (plain[:, name("log_chars")] > 3) & (plain[:, name("periodic")] < 0.5) & (plain[:, name("longest_token")] < 3.2)
-    size = np.bincount(piece, minlength=lines.n)
+    piece, a, b = lines.letter_pairs()
+    size = np.bincount(lines.text, minlength=len(texts)).astype(np.int32)
+    letters = {"use": use, "size": np.bincount(piece, minlength=lines.n).astype(np.int32), "pairs": a.astype(np.int16) * 27 + b}
+    return {"size": size, "chars": lines.chars.astype(np.int32), "kept": _kept(plain)}, letters
+
+
+def _middle(counts: np.ndarray) -> float:
+    """The median of whole numbers from 0 on, by how often each occurs."""
+    n, upto = int(counts.sum()), np.cumsum(counts)
+    return (np.searchsorted(upto, (n - 1) // 2, side="right") + np.searchsorted(upto, n // 2, side="right")) / 2
+
+
+def _low(fits: np.ndarray) -> np.ndarray:
+    """How low mean log odds are, in multiples of 1 / GRAIN."""
+    return np.minimum(np.rint(-fits * GRAIN), 16 * GRAIN).astype(np.int64)
+
+
+def letter_step(letters: Found, before: list[tuple[np.ndarray, float]], odds: np.ndarray | None = None) -> Found:
+    """Counts of letter pairs in the lines that are still in use, or of how low these fit ``odds``."""
+    use, size, pairs = letters["use"], letters["size"], letters["pairs"]
+    pairs, size = pairs[np.repeat(use, size)], size[use]
+    for past, most in before:
+        use = _low(letter_fits(size, pairs, past)) <= most
+        pairs, size = pairs[np.repeat(use, size)], size[use]
+    if odds is None:
+        return {"counts": np.bincount(pairs, minlength=729)}
+    return {"low": np.bincount(_low(letter_fits(size, pairs, odds)), minlength=16 * GRAIN + 1)}
+
+
+def learn_letters(total: Total) -> np.ndarray:
+    """Log probability of each letter after another, over the lines of words; lines that fit far worse than the rest are left out, twice."""
+    before: list[tuple[np.ndarray, float]] = []
     odds = np.zeros((27, 27))
-    for _ in range(3):
-        held = use[piece] if len(piece) else np.zeros(0, bool)
-        counts = np.bincount(a[held].astype(int) * 27 + b[held], minlength=729).reshape(27, 27) + 0.5
+    for turn in range(3):
+        counts = total(letter_step, before=before).get("counts", np.zeros(729)).reshape(27, 27) + 0.5
         odds = np.log(counts / counts.sum(axis=1, keepdims=True))
-        fit = np.bincount(piece, odds[a, b], lines.n) / np.maximum(size, 1)
-        if use.any():
-            use &= fit >= np.median(fit[use]) - 0.6
+        if turn < 2:
+            low = total(letter_step, before=before, odds=odds).get("low", np.zeros(1))
+            before = [*before, (odds, _middle(low) + 0.6 * GRAIN if low.any() else np.inf)]
     return odds
 
 
-def first_guess(features: np.ndarray) -> np.ndarray:
-    """Log scores of the four kinds for lines that tell them clearly; equal ones for the others. Only where fitting starts."""
+def add_letters(lines: Found, letters: Found, odds: np.ndarray) -> Found:
+    """``lines`` with the statistics that depend on how letters follow."""
+    kept = lines["kept"].copy()
+    kept[[NAMES.index("letter_fit"), NAMES.index("letter_pairs")]] = _kept(np.stack(letter_columns(letters["size"], letters["pairs"], odds), axis=1))
+    return lines | {"kept": kept}
+
+
+def first_guess(features: np.ndarray, usual: float) -> np.ndarray:
+    """Log scores of the four kinds for lines that tell them clearly; equal ones for the others. Only where fitting starts; ``usual`` is the median fit of readable lines."""
     f = dict(zip(NAMES, features.T, strict=True))
-    readable = f["letter_fit"][(f["letter_pairs"] >= 1) & (f["plain_words"] > 0.7) & (f["script"] < 0.1) & (f["periodic"] < 0.5) & (f["longest_token"] < 3.2)]
-    usual = np.median(readable) if len(readable) else 0.0
     cells = np.maximum.reduce([f["tabs"], f["bars"], f["semicolons"], f["commas"], f["gaps"]])
     table = ((cells >= 2 / 8) & (f["alike"] >= 1) & ((f["number_tokens"] > 0.15) | (f["tabs"] > 1 / 8) | (f["bars"] > 1 / 8) | ((f["gaps"] > 1 / 8) & (f["short_words"] < 0.2)) | (f["tight"] > 1 / 8))) | (f["tags"] >= 4 / 8) | (f["equals"] >= 3 / 8)
     junk = (f["unreadable"] > 0.06) | (f["signs"] > 0.3) | ((f["longest_token"] > 3.7) & (f["script"] < 0.1)) | (f["mixed_script"] > 0.15) | (f["percent"] > 0.2) | (f["hex"] > 0.9)
@@ -115,149 +234,295 @@ def first_guess(features: np.ndarray) -> np.ndarray:
     return score
 
 
-def _sequences(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first line, number of lines, order by falling length) of each text's run of lines."""
+def _side_by_side(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(order of lines: all first ones, all second ones and so on, of longer texts before shorter; from where each of these goes, and how many they are)."""
     first = np.flatnonzero(np.r_[True, np.diff(text) != 0]) if len(text) else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, len(text)])
-    order = np.argsort(-size, kind="stable")
-    return first[order], size[order], order
-
-
-def _steps(size: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(line, how many of the texts, sorted by falling length, have it)."""
-    for at in range(int(size[0]) if len(size) else 0):
-        yield at, int(np.searchsorted(-size, -at, side="left"))
-
-
-def _sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+    falling = np.argsort(-size, kind="stable")
+    rank = np.empty(len(first), np.int64)
+    rank[falling] = np.arange(len(first))
+    place = np.arange(len(text)) - np.repeat(first, size)
+    many = np.bincount(place)
+    low = np.cumsum(many) - many
+    order = np.empty(len(text), np.int64)
+    order[low[place] + np.repeat(rank, size)] = np.arange(len(text))
+    return order, list(zip(low.tolist(), many.tolist(), strict=True))
 
 
 def posteriors(text: np.ndarray, emitted: np.ndarray, start: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(probability of each kind at each line, expected changes between kinds) by forward and backward sums, all texts side by side."""
-    first, size, _ = _sequences(text)
-    ahead, back = np.zeros_like(emitted), np.zeros_like(emitted)
-    steps = list(_steps(size))
-    for at, n in steps:
-        rows = first[:n] + at
-        come = start[None] if not at else _sum_exp(ahead[rows - 1][:, :, None] + change[None], 1)
-        ahead[rows] = come + emitted[rows]
-    moved = np.zeros_like(change)
-    for at, n in reversed(steps[1:]):
-        rows = first[:n] + at
-        after = emitted[rows] + back[rows]
-        back[rows - 1] = _sum_exp(change[None] + after[:, None, :], 2)
-        joint = ahead[rows - 1][:, :, None] + change[None] + after[:, None, :]
-        joint -= joint.max(axis=(1, 2), keepdims=True)
-        joint = np.exp(joint)
-        moved += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-    both = ahead + back
-    gamma = np.exp(both - both.max(axis=1, keepdims=True))
-    return gamma / gamma.sum(axis=1, keepdims=True), moved
+    order, steps = _side_by_side(text)
+    seen = np.ascontiguousarray(np.exp(emitted - emitted.max(axis=1, keepdims=True))[order].T)
+    step = np.exp(change)
+    # Each line's sums are brought to 1, so nothing runs out of range. Sums of four are written out, as their rounding must not depend on how many texts there are.
+    forth = lambda x, a: x[0] * a[0][:, None] + x[1] * a[1][:, None] + x[2] * a[2][:, None] + x[3] * a[3][:, None]
+    even = lambda x: x / (x[0] + x[1] + x[2] + x[3])
+    ahead, back, before = np.empty_like(seen), np.ones_like(seen), np.zeros(len(text), np.int64)
+    last = 0
+    for low, n in steps:
+        come = forth(ahead[:, last : last + n], step) if low else np.exp(start)[:, None]
+        ahead[:, low : low + n] = even(come * seen[:, low : low + n])
+        before[low : low + n] = np.arange(last, last + n)
+        last = low
+    for (low, n), (last, _) in zip(steps[:0:-1], steps[-2::-1], strict=True):
+        back[:, last : last + n] = even(forth(seen[:, low : low + n] * back[:, low : low + n], step.T))
+    moved = np.zeros(16)
+    for low in range(steps[0][1] if steps else 0, len(text), 16_384):
+        part = slice(low, low + 16_384)
+        joint = (ahead[:, None, before[part]] * step[:, :, None] * (seen[:, part] * back[:, part])[None]).reshape(16, -1)
+        moved += np.rint(joint * (FINE / joint.sum(axis=0))).sum(axis=1)
+    gamma = np.empty_like(emitted)
+    gamma[order] = even(ahead * back).T
+    return gamma, moved.reshape(change.shape) / FINE
 
 
 def best_path(text: np.ndarray, emitted: np.ndarray, start: np.ndarray, change: np.ndarray) -> np.ndarray:
     """Viterbi's path of every text, all side by side."""
-    first, size, _ = _sequences(text)
-    path = np.zeros(len(text), np.int64)
-    came = np.zeros((len(text), 4), np.int8)
-    score = np.zeros((len(text), 4))
-    steps = list(_steps(size))
-    for at, n in steps:
-        rows = first[:n] + at
-        if not at:
-            score[rows] = start + emitted[rows]
-            continue
-        ways = score[rows - 1][:, :, None] + change[None]
-        came[rows] = ways.argmax(axis=1)
-        score[rows] = ways.max(axis=1) + emitted[rows]
-    ends = first + size - 1
-    path[ends] = score[ends].argmax(axis=1)
-    for at, n in reversed(steps[1:]):
-        rows = first[:n] + at
-        path[rows - 1] = came[rows, path[rows]]
-    return path
-
-
-def fit_model(texts: list[str]) -> LineModel:
-    """The model of a sample of texts: codebook by k-means, probabilities by Baum-Welch."""
-    lines = Lines(texts)
-    odds = learn_letters(lines)
-    raw = lines.features(odds)
-    if not len(raw):
-        raw, lines = np.zeros((1, len(NAMES))), Lines(["-"])
-    middle, scale = raw.mean(axis=0), np.maximum(raw.std(axis=0), 0.05)
-    for name, times in EMPHASIS.items():
-        scale[NAMES.index(name)] /= times
-    rows = (raw - middle) / scale
-    book = rows[np.linspace(0, len(rows) - 1, min(CODES, len(rows))).astype(int)]
-    for _ in range(ROUNDS):
-        code = _nearest(rows, book)
-        n = np.bincount(code, minlength=len(book))
-        sums = np.stack([np.bincount(code, column, len(book)) for column in rows.T], axis=1)
-        away = ((rows - book[code]) ** 2).sum(axis=1)
-        book = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], book)
-        worst = np.argsort(-away, kind="stable")[: 8 * MORE : 8]
-        book = np.concatenate([book, rows[worst[away[worst] > 1]]])
+    order, steps = _side_by_side(text)
+    seen = np.ascontiguousarray(emitted[order].T)
+    came = np.zeros(seen.shape, np.int8)
+    score = np.empty_like(seen)
+    last = 0
+    for low, n in steps:
+        top = start[:, None]
+        if low:
+            top = score[0, last : last + n] + change[0][:, None]
+            for kind in range(1, 4):
+                way = score[kind, last : last + n] + change[kind][:, None]
+                came[:, low : low + n][way > top] = kind
+                top = np.maximum(top, way)
+        score[:, low : low + n] = top + seen[:, low : low + n]
+        last = low
+    path = score.argmax(axis=0)
+    for (low, n), (last, _) in zip(steps[:0:-1], steps[-2::-1], strict=True):
+        path[last : last + n] = came[path[low : low + n], np.arange(low, low + n)]
+    found = np.empty_like(path)
+    found[order] = path
+    return found
+
+
+def scale_step(lines: Found) -> Found:
+    """Sums of the statistics and of their squares, and how low the letters of readable lines fit."""
+    kept = lines["kept"].astype(np.int64)
+    f = dict(zip(NAMES, lines["kept"] / GRAIN, strict=True))
+    readable = (f["letter_pairs"] >= 1) & (f["plain_words"] > 0.7) & (f["script"] < 0.1) & (f["periodic"] < 0.5) & (f["longest_token"] < 3.2)
+    low = np.bincount(np.clip(-kept[NAMES.index("letter_fit")][readable], 0, None), minlength=1 << 15)
+    return {"n": np.array([kept.shape[1]]), "sum": kept.sum(axis=1), "square": (kept**2).sum(axis=1), "low": low}
+
+
+def seed_step(lines: Found) -> Found:
+    """The lines that the codebook begins with: the first ones by hash."""
+    return {"seeds": _first(_hash(lines["kept"], 0), lines["kept"].T, CODES)}
+
+
+def book_step(lines: Found, middle: np.ndarray, scale: np.ndarray, book: np.ndarray, turn: int) -> Found:
+    """A round of k-means: number of lines, sums of statistics and of squared distances of each entry, and a line drawn from each, the likelier the farther."""
+    kept = lines["kept"]
+    rows = _scaled(kept, middle, scale)
     code = _nearest(rows, book)
-    guess = first_guess(raw)
-    gamma = np.exp(guess - guess.max(axis=1, keepdims=True))
-    gamma /= gamma.sum(axis=1, keepdims=True)
+    sums = np.stack([np.bincount(code, column, len(book)) for column in kept], axis=1)
+    away = ((rows - book[code]) ** 2).sum(axis=1)
+    far = np.flatnonzero(away > 1)
+    key = -np.log(_hash(kept[:, far], turn + 1)) / away[far] ** 2
+    order = np.lexsort((key, code[far]))
+    first = order[np.r_[True, np.diff(code[far][order]) != 0][: len(order)]]
+    drawn = np.full((len(book), 1 + len(kept)), np.inf)
+    drawn[code[far[first]], 0] = key[first]
+    drawn[code[far[first]], 1:] = kept[:, far[first]].T
+    return {"n": np.bincount(code, minlength=len(book)), "sums": sums, "away": np.bincount(code, np.rint(away * GRAIN), len(book)), "drawn": drawn}
+
+
+def learn_book(total: Total, middle: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The codebook, in scaled statistics."""
+    book = (total(seed_step)["seeds"][:, 1:] / GRAIN - middle) / scale
+    for turn in range(ROUNDS):
+        found = total(book_step, middle=middle, scale=scale, book=book, turn=turn)
+        n = found["n"][:, None]
+        book = np.where(n > 0, (found["sums"] / np.maximum(n, 1) / GRAIN - middle) / scale, book)
+        drawn = found["drawn"]
+        mean = np.where(drawn[:, 0] < np.inf, found["away"] / np.maximum(found["n"], 1), 0)
+        worst = np.argsort(-mean, kind="stable")[:MORE]
+        book = np.concatenate([book, (drawn[worst[mean[worst] > 0], 1:] / GRAIN - middle) / scale])
+    return book
+
+
+def code_lines(lines: Found, middle: np.ndarray, scale: np.ndarray, book: np.ndarray, usual: float) -> Found:
+    """Each line's entry of the codebook and the kinds that the first guess tells it to be, as bits."""
+    told = first_guess((lines["kept"] / GRAIN).T, usual) > 0
+    return {"size": lines["size"], "chars": lines["chars"], "code": _nearest(_scaled(lines["kept"], middle, scale), book).astype(np.int16), "told": np.packbits(told, axis=1, bitorder="little")[:, 0]}
+
+
+def chain_step(coded: Found, entries: int, model: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> Found:
+    """Expected lines of each entry and kind, texts that begin with each kind, and changes between kinds; without a model the lines by the first guess."""
+    code, text = coded["code"], np.repeat(np.arange(len(coded["size"])), coded["size"])
+    begins = np.r_[True, np.diff(text) != 0][: len(text)]
+    found = {"begun": np.array([begins.sum()])}
+    if model is None:
+        guess = np.exp(4.0 * np.unpackbits(coded["told"][:, None], axis=1, count=4, bitorder="little"))
+        gamma = guess / guess.sum(axis=1, keepdims=True)
+        found["held"] = np.bincount(code, minlength=entries)
+    else:
+        start, change, emit = model
+        gamma, moved = posteriors(text, emit[code], start, change)
+        found["moved"] = np.rint(moved * FINE)
+    gamma = np.rint(gamma * FINE)
+    return found | {"weight": np.stack([np.bincount(code, gamma[:, k], entries) for k in range(4)], axis=1), "starts": gamma[begins].sum(axis=0)}
+
+
+def learn_chain(total: Total, entries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, change, emit) as log probabilities, by Baum-Welch."""
     start = np.log(np.full(4, 0.25))
     change = np.log(np.full((4, 4), 0.02) + np.eye(4) * 0.92)
-    emit = np.zeros((len(book), 4))
+    emit = np.zeros((entries, 4))
+    found = total(chain_step, entries=entries, model=None)
+    weight = found["weight"] / FINE
     # Entries lean on the first guess for their own lines, rare ones the most: as if PRIOR lines and a share of their own had been seen besides.
-    held = np.maximum(np.bincount(code, minlength=len(book)), 1)[:, None]
-    lean = np.stack([np.bincount(code, gamma[:, k], len(book)) for k in range(4)], axis=1) / held * gamma.sum(axis=0) + 1e-9
+    held = np.maximum(found["held"], 1)[:, None]
+    lean = weight / held * weight.sum(axis=0) + 1e-9
     lean *= (PRIOR + LEAN * held) / lean.sum(axis=1, keepdims=True)
     for turn in range(FITS + 1):
-        weight = np.stack([np.bincount(code, gamma[:, k], len(book)) for k in range(4)], axis=1) + lean + 0.01
-        emit = np.log(weight / weight.sum(axis=0))
+        seen = weight + lean + 0.01
+        emit = np.log(seen / seen.sum(axis=0))
         if turn == FITS:
             break
-        gamma, moved = posteriors(lines.text, emit[code], start, change)
-        begins = np.r_[True, np.diff(lines.text) != 0]
-        start = np.log((gamma[begins].sum(axis=0) + 1) / (begins.sum() + 4))
+        found = total(chain_step, entries=entries, model=(start, change, emit))
+        weight, moved = found["weight"] / FINE, found["moved"] / FINE
+        start = np.log((found["starts"] / FINE + 1) / (found["begun"] + 4))
         change = np.log((moved + 1) / (moved + 1).sum(axis=1, keepdims=True))
-    return LineModel(odds, middle, scale, book, start, change, emit)
+    return start, change, emit
+
+
+def learn_scale(total: Total) -> tuple[int, np.ndarray, np.ndarray, float]:
+    """(number of lines, middle and scale of the statistics, median fit of readable lines)."""
+    found = total(scale_step)
+    n = int(found["n"][0]) if found else 0
+    if not n:
+        return 0, np.zeros(len(NAMES)), np.ones(len(NAMES)), 0.0
+    middle = found["sum"] / n
+    scale = np.maximum(np.sqrt(np.maximum(found["square"] / n - middle**2, 0)) / GRAIN, 0.05)
+    for name, times in EMPHASIS.items():
+        scale[NAMES.index(name)] /= times
+    return n, middle / GRAIN, scale, -_middle(found["low"]) / GRAIN if found["low"].any() else 0.0
+
+
+def fit_model(texts: list[str]) -> LineModel:
+    """The model of texts that are at hand, by the same steps as of a table."""
+    lines, letters = read_chunk(texts)
+    if not lines["kept"].shape[1]:
+        return fit_model(["-"])
+    odds = learn_letters(lambda step, **sent: step(letters, **sent))
+    lines = add_letters(lines, letters, odds)
+    _, middle, scale, usual = learn_scale(lambda step: step(lines))
+    book = learn_book(lambda step, **sent: step(lines, **sent), middle, scale)
+    coded = code_lines(lines, middle, scale, book, usual)
+    return LineModel(odds, middle, scale, book, *learn_chain(lambda step, **sent: step(coded, **sent), len(book)))
 
 
 def label_texts(texts: list[str | None], model: LineModel) -> list[list[float] | None]:
     """Share of the characters of each kind of every text; None if it is null or blank."""
     lines = Lines([t or "" for t in texts])
-    path = best_path(lines.text, model.emit[model.codes(lines.features(model.odds))], model.start, model.change)
-    total = np.bincount(lines.text * 4 + path, lines.chars, 4 * len(texts)).reshape(-1, 4)
-    held = np.bincount(lines.text, minlength=len(texts)) > 0
+    coded = {"size": np.bincount(lines.text, minlength=len(texts)), "chars": lines.chars, "code": model.codes(lines.features(model.odds))}
+    return label_lines(coded, model.start, model.change, model.emit)
+
+
+def label_lines(coded: Found, start: np.ndarray, change: np.ndarray, emit: np.ndarray) -> list[list[float] | None]:
+    """Share of the characters of each kind of every text, by the codes of its lines; None if it has none."""
+    size = coded["size"]
+    text = np.repeat(np.arange(len(size)), size)
+    path = best_path(text, emit[coded["code"]], start, change)
+    total = np.bincount(text * 4 + path, coded["chars"], 4 * len(size)).reshape(-1, 4)
+    held = size > 0
     share = total / np.maximum(total.sum(axis=1, keepdims=True), 1)
     return [s if h else None for s, h in zip(share.tolist(), held.tolist(), strict=True)]
 
 
-def sample_texts(corpus: DataFrame, id_column: str, text_column: str) -> list[str]:
-    """Beginnings of a bounded number of documents, by a hash of the id."""
-    rows = corpus.count()
-    every = max(1, rows // SAMPLE_DOCUMENTS)
-    picked = corpus.filter(F.pmod(F.xxhash64(id_column), F.lit(every)) == 0).select(F.xxhash64(id_column).alias("h"), F.substring(text_column, 1, SAMPLE_CHARS).alias("t")).limit(2 * SAMPLE_DOCUMENTS)
-    return [r["t"] for r in sorted(picked.collect(), key=lambda r: r["h"]) if r["t"] and r["t"].strip()]
+def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(from, to) of texts that are handled at once."""
+    low = held = 0
+    for at, size in enumerate(sizes):
+        if at > low and (at - low >= AT_ONCE or held + size > CHARS_AT_ONCE):
+            yield low, at
+            low, held = at, 0
+        held += size
+    if len(sizes) > low:
+        yield low, len(sizes)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of documents: ids, lines and letters."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        for low, high in _chunks([len(t) for t in texts]):
+            lines, letters = read_chunk(texts[low:high])
+            ids = pa.array([batch.column(0)[low:high].to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([_pack(lines)], pa.binary()), pa.array([_pack(letters)], pa.binary())], names=["ids", "lines", "letters"])
+
+
+def _passes(chunks: DataFrame, column: str) -> Total:
+    """Runs steps over the packed ``column`` of all chunks."""
+    context = chunks.sparkSession.sparkContext
+    tasks = chunks.rdd.getNumPartitions()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _together(_unpack(v.as_py()) for batch in batches for v in batch.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array([_pack(found)], pa.binary())], names=["found"])
+
+    def total(step: Callable[..., Found], **sent: object) -> Found:
+        told = context.broadcast(sent)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = _together(step(_unpack(v.as_py()), **told.value) for batch in batches for v in batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([_pack(found)], pa.binary())], names=["found"])
+
+        parts = chunks.select(column).mapInArrow(run, "found binary")
+        if tasks > ADDED:
+            parts = parts.repartition(int(tasks**0.5)).mapInArrow(add, "found binary")
+        try:
+            return _together(_unpack(bytes(r["found"])) for r in parts.collect())
+        finally:
+            told.destroy()
+
+    return total
 
 
 def label_documents(corpus: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, prose, list, table, junk, kind) of every document; kind is null where prose has its quarter."""
-    sent = corpus.sparkSession.sparkContext.broadcast(vars(fit_model(sample_texts(corpus, id_column, text_column))))
+    wanted = corpus.select(corpus[id_column].cast("long").alias("doc_id"), corpus[text_column].alias("text"))
+    read = wanted.mapInArrow(_read, "ids array<long>, lines binary, letters binary").persist(StorageLevel.DISK_ONLY)
+    odds = learn_letters(_passes(read, "letters"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lines = _pack(add_letters(_unpack(batch.column(1)[i].as_py()), _unpack(batch.column(2)[i].as_py()), odds))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], pa.array([lines], pa.binary())], names=["ids", "lines"])
+
+    lines = read.mapInArrow(whole, "ids array<long>, lines binary").persist(StorageLevel.DISK_ONLY)
+    n, middle, scale, usual = learn_scale(_passes(lines, "lines"))
+    read.unpersist()
+    book = learn_book(_passes(lines, "lines"), middle, scale) if n else np.zeros((1, len(NAMES)))
+    sent = corpus.sparkSession.sparkContext.broadcast((middle, scale, book, usual))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                coded = _pack(code_lines(_unpack(batch.column(1)[i].as_py()), *sent.value))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], pa.array([coded], pa.binary())], names=["ids", "coded"])
+
+    coded = cut(lines.mapInArrow(code, "ids array<long>, coded binary"))
+    lines.unpersist()
+    chain = learn_chain(_passes(coded, "coded"), len(book)) if n else (np.zeros(4), np.zeros((4, 4)), np.zeros((1, 4)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LineModel(**sent.value)
-        for whole in batches:
-            for low in range(0, whole.num_rows, AT_ONCE):
-                batch = whole.slice(low, AT_ONCE)
-                shares = label_texts(batch.column(1).to_pylist(), model)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shares = label_lines(_unpack(batch.column(1)[i].as_py()), *chain)
                 kinds = [KINDS[1 + int(np.argmax(s[1:]))] if s is not None and 1 - s[PROSE] > NOT_PROSE else None for s in shares]
                 columns = [[s[k] if s is not None else None for s in shares] for k in range(4)]
-                arrays = [batch.column(0), *(pa.array(c, pa.float64()) for c in columns), pa.array(kinds, pa.string())]
+                arrays = [batch.column(0)[i].values, *(pa.array(c, pa.float64()) for c in columns), pa.array(kinds, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *KINDS, "kind"])
 
-    wanted = corpus.select(corpus[id_column].cast("long").alias("doc_id"), corpus[text_column].alias("text"))
-    return wanted.mapInArrow(run, "doc_id long, prose double, list double, table double, junk double, kind string")
+    return coded.mapInArrow(run, "doc_id long, prose double, list double, table double, junk double, kind string")
 
 
 def text_statistics(corpus: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

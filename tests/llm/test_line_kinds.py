@@ -99,3 +99,14 @@ def test_rows(spark):
     stats = {r["doc_id"]: r for r in lk.text_statistics(frame).collect()}
     assert stats[2]["words"] == 0 and stats[2]["mean_word"] is None and stats[5]["mean_word"] == 200
     assert stats[1]["ended_lines"] == 1 and stats[1]["words"] == len(PROSE.split())
+
+
+def test_the_model_comes_from_every_line_of_whole_documents(spark):
+    held = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    texts = ["\n".join(t or "" for t in held[i : i + 8]) for i in range(0, len(held), 8)]
+    assert max(map(len, texts)) > 5_000
+    want = lk.label_texts(texts, lk.fit_model(texts))
+    for parts in (1, 5):
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+        got = {r["doc_id"]: [r[k] for k in lk.KINDS] for r in lk.label_documents(frame).collect()}
+        assert [got[i] for i in range(len(texts))] == want
